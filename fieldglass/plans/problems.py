@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldglass.operators.anomalies import implausible_readings, line_readings, position_readings
 from fieldglass.operators.gridding import regular_grid
 from fieldglass.operators.references import Parent, Reference, orphan_references, orphan_report
 from fieldglass.sources.tables import table
@@ -23,6 +24,22 @@ def p2_grid(spark: SparkSession, base: str) -> DataFrame:
     return grid(spark, base).select("job_id", "track_id", F.col("grid_time").alias("grid_frame"), F.round("pitch_x", 6).alias("pitch_x"), F.round("pitch_y", 6).alias("pitch_y"), "status")
 
 
+def spikes(spark: SparkSession, base: str) -> DataFrame:
+    """Flagged positions of tracks and offside lines of attacking sides."""
+    return implausible_readings(position_readings(table(spark, base, "player_frame_score")).unionByName(line_readings(table(spark, base, "frame_score"))))
+
+
+def p3_found(spark: SparkSession, base: str) -> DataFrame:
+    return spikes(spark, base).select("table_name", "job_id", "track_id", "frame_index").distinct()
+
+
+def p3_rates(spark: SparkSession, base: str) -> DataFrame:
+    """Flagged readings per table and kind, with the mean probability that the model gave them."""
+    return spikes(spark, base).groupBy("table_name", "flag").agg(
+        F.count(F.lit(1)).alias("n_readings"), F.countDistinct("job_id", "track_id", "side").alias("n_sources"), F.avg(F.greatest("p_spike", "p_stuck", "p_range")).alias("mean_probability")
+    )
+
+
 def orphans(spark: SparkSession, base: str) -> DataFrame:
     scores, summaries = table(spark, base, "player_frame_score"), table(spark, base, "player_match_summary")
     return orphan_references(
@@ -47,7 +64,7 @@ def p5_report(spark: SparkSession, base: str) -> DataFrame:
     return orphan_report(orphans(spark, base))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_grid, p5_found, p5_report)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_grid, p3_found, p3_rates, p5_found, p5_report)}
 
 _GRID = """
 WITH usable AS (
