@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm.components import group_extents, match_groups
+from fieldglass.llm.encoding import repair_documents
 from fieldglass.llm.mixing import draw_mixture, mixing_rates, mixture_report
 from fieldglass.llm.quantiles import quantile_summaries, readings_once, summary_percentiles, wrong_medians
 from fieldglass.sources.tables import table
@@ -51,7 +52,17 @@ def p7_mixture(spark: SparkSession, base: str) -> DataFrame:
     return mixture_report(draw_mixture(documents, rates), rates)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_team_space, p4_track_percentiles, p7_found, p7_mixture)}
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    return repair_documents(table(spark, base, "documents")).select("doc_id")
+
+
+def p8_mappings(spark: SparkSession, base: str) -> DataFrame:
+    """Damaged documents by the mappings that restored them."""
+    repaired = repair_documents(table(spark, base, "documents"))
+    return repaired.groupBy(F.array_join(F.array_sort("mappings"), ", ").alias("mappings"), "restorable").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_team_space, p4_track_percentiles, p7_found, p7_mixture, p8_found, p8_mappings)}
 
 _GROUPS = """
 WITH RECURSIVE spans AS (SELECT DISTINCT job_id, track_id FROM track_span WHERE job_id IS NOT NULL AND track_id IS NOT NULL),
