@@ -26,11 +26,12 @@ PAIR_BITS, CHAR_BITS = 20, 16
 class RepairConfig:
     """Thresholds, in bits of probability per adjacent pair of characters."""
 
-    improbable: float = 1e-3  # pairs that carry less mutual information than this score positive
+    improbable: float = 1e-4  # pairs that carry less mutual information than this score positive
     clip: float = 4.0
-    gain_utf8: float = 2.0  # a multi-byte reading has structure of its own; little more is asked
-    gain_table: float = 3.0  # one single-byte table taken for another
-    least_replaced: int = 3  # characters that such a mapping must change in a text
+    gain_utf8: float = 10.0  # of the whole run: valid multi-byte sequences are evidence of their own
+    gain_table: float = 3.0  # of the mean pair, where one single-byte table is taken for another
+    gain_text: float = 12.0  # of such a mapping over all runs of a text
+    reach: int = 12  # characters around one outside ASCII that are scored
     rounds: int = 3  # texts may have been garbled more than once
 
 
@@ -84,17 +85,17 @@ class PairModel:
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
         return self.log_pairs[_pair_slot(codes[:-1], codes[1:])]
 
-    def improbability(self, codes: np.ndarray, config: RepairConfig) -> np.ndarray:
-        """Positive where a pair carries little of the corpus' mutual information, negative where it carries much."""
-        lp = self.log_probability(codes)
-        lc = self.log_chars[_char_slot(codes)]
-        information = np.exp2(lp) * (lp - lc[:-1] - lc[1:])
+    def improbability(self, a: np.ndarray, b: np.ndarray, config: RepairConfig) -> np.ndarray:
+        """Positive where the pair of a and b carries little of the corpus' mutual information, negative where it carries much."""
+        lp = self.log_pairs[_pair_slot(a, b)]
+        mutual = lp - self.log_chars[_char_slot(a)] - self.log_chars[_char_slot(b)]
+        information = np.exp2(lp) * np.maximum(np.abs(mutual), 1.0)
         return np.clip(np.log2(config.improbable / np.maximum(information, 1e-12)), -config.clip, config.clip)
 
-    def mean(self, text: str) -> float:
-        """Mean bits of the adjacent pairs of text."""
-        codes = _codes(text)
-        return float(self.log_probability(codes).mean()) if len(codes) > 1 else 0.0
+    def bits(self, text: str) -> tuple[float, float]:
+        """Sum and mean of the log probability of the adjacent pairs of text."""
+        lp = self.log_probability(_codes(text))
+        return (float(lp.sum()), float(lp.mean())) if len(lp) else (0.0, 0.0)
 
 
 def max_scoring_segments(scores: np.ndarray) -> list[tuple[int, int]]:
@@ -177,14 +178,11 @@ class _Utf8:
         tail = of(0x80, 0xBF)
         self.pattern = re.compile(f"(?:{of(0xC2, 0xDF)}{tail}|{of(0xE0, 0xEF)}{tail}{{2}}|{of(0xF0, 0xF4)}{tail}{{3}})+")
 
-    def _read(self, m: re.Match) -> str:
+    def read(self, piece: str) -> str:
         try:
-            return bytes(self.table[c] for c in m.group()).decode("utf-8")
+            return bytes(self.table[c] for c in piece).decode("utf-8")
         except UnicodeDecodeError:
-            return m.group()
-
-    def restore(self, run: str) -> str:
-        return self.pattern.sub(self._read, run)
+            return piece
 
 
 class _Table:
@@ -201,20 +199,17 @@ class _Table:
         else:
             self.pattern = re.compile(f"{high}+")
 
-    def _read(self, m: re.Match) -> str:
-        data = bytes(self.table.get(c, ord(c) & 0x7F) for c in m.group())
+    def read(self, piece: str) -> str:
+        data = bytes(self.table.get(c, ord(c) & 0x7F) for c in piece)
         try:
             return data.decode(self.really)
         except UnicodeDecodeError:
             if not self.multibyte:
-                return m.group()
+                return piece
             try:  # a last high byte may belong to what follows
-                return data[:-1].decode(self.really) + m.group()[-1]
+                return data[:-1].decode(self.really) + piece[-1]
             except UnicodeDecodeError:
-                return m.group()
-
-    def restore(self, run: str) -> str:
-        return self.pattern.sub(self._read, run)
+                return piece
 
 
 class Repairer:
@@ -224,47 +219,73 @@ class Repairer:
         self.model, self.config = model, config
         self.utf8 = [_Utf8(e) for e in UTF8_MISREAD_AS]
         self.tables = [_Table(a, b) for a, b in MISREAD_TABLES] + [_Table(a, b, True) for a, b in MULTIBYTE]
-        self.known: dict[str, tuple[str, str, int, bool] | None] = {}
+        self.known: dict[str, tuple[str, str, float, bool] | None] = {}
+
+    def _restore(self, mapping: _Utf8 | _Table, run: str, least: float | None) -> str:
+        """The run with every piece read anew that the mapping can read; with least, only pieces that gain as much in the mean."""
 
-    def _best(self, run: str) -> tuple[str, str, int, bool] | None:
-        """(restored, mapping, characters replaced, by utf-8) of a run given with one character of context on both sides."""
-        old = self.model.mean(run)
+        def piece(m: re.Match) -> str:
+            new = mapping.read(m.group())
+            if least is None or new == m.group():
+                return new
+            before, after = run[max(m.start() - 1, 0) : m.start()], run[m.end() : m.end() + 1]
+            return new if self.model.bits(before + new + after)[1] - self.model.bits(before + m.group() + after)[1] >= least else m.group()
+
+        return mapping.pattern.sub(piece, run)
+
+    def _best(self, run: str) -> tuple[str, str, float, bool] | None:
+        """(restored, mapping, bits gained, by utf-8) of a run given with one character of context on both sides."""
+        old_sum, old_mean = self.model.bits(run)
         best, most = None, 0.0
-        for kinds, least, by_utf8 in ((self.utf8, self.config.gain_utf8, True), (self.tables, self.config.gain_table, False)):
-            for mapping in kinds:
-                new = mapping.restore(run)
-                if new == run or any(0x80 <= ord(c) < 0xA0 for c in new if c not in run):
-                    continue
-                gain = self.model.mean(new) - old
-                # a mapping that leaves fewer odd characters explains more of the run
-                weight = gain * sum(1 for c in run if ord(c) > 127 and c not in new)
-                if gain >= least and weight > most:
-                    changed = sum(1 for c in run if ord(c) > 127) - (0 if by_utf8 else sum(1 for a, b in zip(run, new) if a == b and ord(a) > 127))
-                    best, most = (new, mapping.name, changed, by_utf8), weight
+        for mapping, by_utf8, times in ((m, m in self.utf8, t) for m in (*self.utf8, *self.tables) for t in (1, 2)):
+            if times == 1:
+                new = self._restore(mapping, run, 0.0 if by_utf8 else self.config.gain_table / 2)
+            elif by_utf8:  # garbled twice: the step between may be no likelier than the run
+                new = self._restore(mapping, self._restore(mapping, run, None), None)
+            else:
+                continue
+            if new == run or any(0x80 <= ord(c) < 0xA0 for c in new if c not in run):
+                continue
+            new_sum, new_mean = self.model.bits(new)
+            if by_utf8:
+                holds = new_sum - old_sum >= self.config.gain_utf8 and new_mean >= old_mean
+            else:
+                holds = new_mean - old_mean >= self.config.gain_table
+            weight = new_sum - old_sum
+            if holds and weight > most:
+                best, most = (new, mapping.name, weight, by_utf8), weight
         return best
 
     def _runs(self, text: str) -> list[tuple[int, int]]:
-        """Improbable runs [begin, end) of characters that hold one outside ASCII, wholly."""
-        codes = _codes(text)
+        """Improbable runs [begin, end) of characters that hold one outside ASCII, wholly.
+
+        Only pairs near such a character are scored; a segment without one would be no run.
+        """
+        codes = np.concatenate([[10], _codes(text), [10]]).astype("<u4")
         odd = codes > 127
         if not odd.any():
             return []
-        segments = max_scoring_segments(self.model.improbability(np.concatenate([[10], codes, [10]]).astype("<u4"), self.config))
         counts = np.concatenate([[0], np.cumsum(odd)])
+        reach = self.config.reach
+        i = np.arange(len(codes) - 1)
+        near = np.flatnonzero(counts[np.minimum(i + 2 + reach, len(codes))] > counts[np.maximum(i - reach, 0)])
+        scores = self.model.improbability(codes[near], codes[near + 1], self.config)
+        scores[1:][np.diff(near) > 1] = -1e3  # no segment reaches over what lies between
         runs: list[tuple[int, int]] = []
-        for b, e in segments:  # pairs b..e-1 join characters b-1..e-1 of the text
-            b, e = max(b - 1, 0), min(e, len(codes))
+        for first, last in max_scoring_segments(scores):  # pairs first..last-1
+            b, e = int(near[first]), int(near[last - 1]) + 2
             if counts[e] == counts[b]:
                 continue
-            while b > 0 and odd[b - 1] and odd[b]:
+            while odd[b - 1] and odd[b]:
                 b -= 1
             while e < len(codes) and odd[e] and odd[e - 1]:
                 e += 1
+            b, e = max(b, 1), min(e, len(codes) - 1)
             if runs and b <= runs[-1][1]:
                 runs[-1] = (runs[-1][0], max(e, runs[-1][1]))
             else:
                 runs.append((b, e))
-        return runs
+        return [(b - 1, e - 1) for b, e in runs]
 
     def repair(self, text: str | None) -> tuple[bool, str | None, list[str], bool]:
         """(damaged, restored text, mappings that held, whether all damage could be restored)."""
@@ -285,12 +306,11 @@ class Repairer:
                 held = self.known[context]
                 if held and not self._only_quoted(text, b, e, held, spans):
                     found.append((b, e, held))
-            # single-byte tables are trusted only if they change enough of the text
-            changed = {}
-            for _, _, (_, name, n, by_utf8) in found:
-                if not by_utf8:
-                    changed[name] = changed.get(name, 0) + n
-            found = [f for f in found if f[2][3] or changed[f[2][1]] >= self.config.least_replaced]
+            # a single-byte table is trusted only if the text as a whole gains enough by it
+            gained: dict[str, float] = {}
+            for _, _, (_, name, gain, _) in found:
+                gained[name] = gained.get(name, 0.0) + gain
+            found = [f for f in found if f[2][3] or gained[f[2][1]] >= self.config.gain_text]
             if not found:
                 break
             out, at = [], 0
