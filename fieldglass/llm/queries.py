@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldglass.llm.components import group_extents, match_groups
 from fieldglass.llm.encoding import repair_documents
 from fieldglass.llm.mixing import draw_mixture, mixing_rates, mixture_report
+from fieldglass.llm.packing import fill_report, pack_documents
 from fieldglass.llm.quantiles import quantile_summaries, readings_once, summary_percentiles, wrong_medians
 from fieldglass.sources.tables import table
 
@@ -42,6 +43,16 @@ def p4_track_percentiles(spark: SparkSession, base: str) -> DataFrame:
     return out.select(*keys, "percentile", "n", F.round("estimate", 6).alias("estimate"))
 
 
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    packed = pack_documents(table(spark, base, "documents"), table(spark, base, "pack_target"))
+    return packed.where((F.col("n_pieces") > 1) & (F.col("piece") == 0)).select("capacity_name", "doc_id")
+
+
+def p6_fill(spark: SparkSession, base: str) -> DataFrame:
+    targets = table(spark, base, "pack_target")
+    return fill_report(pack_documents(table(spark, base, "documents"), targets), targets)
+
+
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return mixing_rates(table(spark, base, "documents"), table(spark, base, "mix_target")).where("capped").select("source")
 
@@ -62,7 +73,7 @@ def p8_mappings(spark: SparkSession, base: str) -> DataFrame:
     return repaired.groupBy(F.array_join(F.array_sort("mappings"), ", ").alias("mappings"), "restorable").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_team_space, p4_track_percentiles, p7_found, p7_mixture, p8_found, p8_mappings)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_team_space, p4_track_percentiles, p6_found, p6_fill, p7_found, p7_mixture, p8_found, p8_mappings)}
 
 _GROUPS = """
 WITH RECURSIVE spans AS (SELECT DISTINCT job_id, track_id FROM track_span WHERE job_id IS NOT NULL AND track_id IS NOT NULL),
@@ -89,5 +100,6 @@ FROM groups g JOIN track_span s ON g.job_id = s.job_id AND g.track_id = s.track_
 ON s.job_id = r.job_id AND s.track_id = r.track_id WHERE NOT isnan(s.median_space_owned) AND abs(s.median_space_owned - m) > CAST(0.05 AS DOUBLE) * abs(m)""",
     "p4_track_percentiles": f"""SELECT job_id, track_id, q AS percentile, n, round(e, 6) AS estimate FROM (
   SELECT job_id, track_id, count(*) AS n, unnest([CAST(0.25 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.75 AS DOUBLE)]) AS q, unnest(quantile_cont(v, [0.25, 0.5, 0.75])) AS e FROM ({_ONCE}) GROUP BY job_id, track_id)""",
+    "p6_found": "SELECT capacity_name, doc_id FROM pack_target JOIN documents ON strlen(text) > capacity_tokens",
     "p7_found": _SIZES + " SELECT source FROM sizes WHERE max_repeats * size < target_share * (SELECT sum(size) FROM sizes)",
 }
