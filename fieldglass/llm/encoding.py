@@ -29,7 +29,8 @@ class RepairConfig:
     improbable: float = 1e-4  # pairs that carry less mutual information than this score positive
     clip: float = 4.0
     gain_utf8: float = 10.0  # of the whole run: valid multi-byte sequences are evidence of their own
-    gain_table: float = 3.0  # of the mean pair, where one single-byte table is taken for another
+    gain_table: float = 3.0  # of the mean pair of a piece, where one single-byte table is taken for another
+    gain_weak: float = 1.0  # the same, once the text has been found to be misread so
     gain_text: float = 12.0  # of such a mapping over all runs of a text
     reach: int = 12  # characters around one outside ASCII that are scored
     rounds: int = 3  # texts may have been garbled more than once
@@ -239,7 +240,7 @@ class Repairer:
         best, most = None, 0.0
         for mapping, by_utf8, times in ((m, m in self.utf8, t) for m in (*self.utf8, *self.tables) for t in (1, 2)):
             if times == 1:
-                new = self._restore(mapping, run, 0.0 if by_utf8 else self.config.gain_table / 2)
+                new = self._restore(mapping, run, 0.0 if by_utf8 else self.config.gain_table)
             elif by_utf8:  # garbled twice: the step between may be no likelier than the run
                 new = self._restore(mapping, self._restore(mapping, run, None), None)
             else:
@@ -247,12 +248,10 @@ class Repairer:
             if new == run or any(0x80 <= ord(c) < 0xA0 for c in new if c not in run):
                 continue
             new_sum, new_mean = self.model.bits(new)
-            if by_utf8:
-                holds = new_sum - old_sum >= self.config.gain_utf8 and new_mean >= old_mean
-            else:
-                holds = new_mean - old_mean >= self.config.gain_table
             weight = new_sum - old_sum
-            if holds and weight > most:
+            if by_utf8 and (weight < self.config.gain_utf8 or new_mean < old_mean):
+                continue
+            if weight > most:
                 best, most = (new, mapping.name, weight, by_utf8), weight
         return best
 
@@ -296,21 +295,30 @@ class Repairer:
         lost = any(not quotes(text, m.start(), m.end(), spans) for m in re.finditer("�", text))
         mappings: list[str] = []
         for _ in range(self.config.rounds):
-            found = []
+            found, runs = [], []
             for b, e in self._runs(text):
                 context = (text[b - 1] if b else "\n") + text[b:e] + (text[e] if e < len(text) else "\n")
                 if context not in self.known:
                     if len(self.known) > 200_000:
                         self.known.clear()
                     self.known[context] = self._best(context)
-                held = self.known[context]
-                if held and not self._only_quoted(text, b, e, held, spans):
-                    found.append((b, e, held))
-            # a single-byte table is trusted only if the text as a whole gains enough by it
+                if not self._only_quoted(text, b, e, spans):
+                    runs.append((b, e, context, self.known[context]))
+            # a single-byte table is trusted only if the text as a whole gains enough by it, and then for weaker runs too
             gained: dict[str, float] = {}
-            for _, _, (_, name, gain, _) in found:
-                gained[name] = gained.get(name, 0.0) + gain
-            found = [f for f in found if f[2][3] or gained[f[2][1]] >= self.config.gain_text]
+            for _, _, _, held in runs:
+                if held and not held[3]:
+                    gained[held[1]] = gained.get(held[1], 0.0) + held[2]
+            trusted = [m for m in self.tables if gained.get(m.name, 0.0) >= self.config.gain_text]
+            for b, e, context, held in runs:
+                if held and held[3]:
+                    found.append((b, e, held))
+                    continue
+                for m in sorted(trusted, key=lambda m: not held or m.name != held[1]):
+                    new = self._restore(m, context, self.config.gain_weak)
+                    if new != context:
+                        found.append((b, e, (new, m.name, 0.0, False)))
+                        break
             if not found:
                 break
             out, at = [], 0
@@ -327,7 +335,7 @@ class Repairer:
             spans = quoted_spans(text)
         return bool(mappings) or lost, text, list(dict.fromkeys(mappings)), not lost
 
-    def _only_quoted(self, text: str, b: int, e: int, held, spans) -> bool:
+    def _only_quoted(self, text: str, b: int, e: int, spans) -> bool:
         """Whether all odd characters of the run lie in a quotation."""
         return bool(spans) and all(any(q <= i < r for q, r in spans) for i in range(b, e) if ord(text[i]) > 127)
 
