@@ -108,20 +108,25 @@ def orphan_references(references: list[Reference], parents: list[Parent], *, key
     """
     used = None
     for r in references:
-        t = F.col(f"`{r.time}`").cast("timestamp")
+        t = _micros(F.col(f"`{r.time}`"))
+        day = F.date_from_unix_date(F.floor(t / 86_400_000_000).cast("int"))
         part = r.df.select(
             F.lit(r.table_name).alias("table_name"),
             F.lit(r.field_name).alias("field_name"),
             F.col("job_id"),
-            uuid_key(F.col(f"`{r.key}`")).alias("ref_key"),
-            F.date_format(t, "yyyy-MM").alias("ref_month"),
+            F.col(f"`{r.key}`").alias("_raw"),
+            (F.year(day) * 12 + F.month(day) - 1).alias("_month"),
             F.lit(r.parent).alias("_parent"),
-            _micros(t).alias("_t"),
-        ).where(F.col("ref_key").isNotNull())
+            t.alias("_t"),
+        ).where(F.col("_raw").isNotNull())
         used = part if used is None else used.unionByName(part)
-    keys = ["table_name", "field_name", "_parent", "job_id", "ref_key", "ref_month"]
     # the extremes decide: a use at or after the deletion exists iff the latest is, one before the creation iff the earliest is
-    used = used.groupBy(*keys).agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    extremes = lambda first, last: (F.min(first).alias("_first"), F.max(last).alias("_last"))
+    keys = ["table_name", "field_name", "_parent", "job_id", "_month"]
+    used = used.groupBy(*keys, "_raw").agg(*extremes("_t", "_t"))  # as spelled: few are left to be normalised
+    used = used.withColumn("ref_key", uuid_key(F.col("_raw"))).groupBy(*keys, "ref_key").agg(*extremes("_first", "_last"))
+    month = F.format_string("%04d-%02d", F.floor(F.col("_month") / 12).cast("int"), F.col("_month") % 12 + 1)
+    used = used.withColumn("ref_month", F.when(F.col("_month").isNotNull(), month)).drop("_month")
     used = materialise(used.withColumn("_pk", F.concat_ws("|", "_parent", "ref_key")), "references")
 
     ranges = _ranges(_parents(parents), keys_per_range)
