@@ -95,7 +95,7 @@ def frame_scores(spark: SparkSession, base: str) -> DataFrame:
     """All measures of every scored frame."""
     scored = with_space(lined(spark, base))
     players = off_ball_players(scored).groupBy(*KEY).agg(F.count_if("is_available").cast("int").alias("available_options"), F.count(F.lit(1)).cast("int").alias("n_players"))
-    frames = scored.select(*KEY, "attacking_team", "team_space", "team_dangerous_space", "attacking_hull", "defending_hull", "offside_line", F.array_join(F.transform("defensive_lines", lambda c: F.format_string("%.3f", c)), " ").alias("banks"))
+    frames = scored.select(*KEY, "attacking_team", "team_space", "team_dangerous_space", "attacking_hull", "defending_hull", "offside_line", F.array_join(F.transform("defensive_lines", lambda c: F.format_string("%.6f", c)), " ").alias("banks"))
     return rounded(frames.join(players, list(KEY)), "team_space", "team_dangerous_space", "attacking_hull", "defending_hull", "offside_line")
 
 
@@ -193,3 +193,37 @@ SELECT a.match_no, a.frame_index, a.track_id, CAST(coalesce(n, 0) AS DOUBLE) AS
 SELECT s.match_no, s.frame_index, round(coalesce(a.area, 0), 6) AS attacking_hull, round(coalesce(d.area, 0), 6) AS defending_hull, round(depth, 6) AS depth, round(width, 6) AS width, round(centroid_x, 6) AS centroid_x, round(centroid_y, 6) AS centroid_y
 FROM shape s LEFT JOIN areas a ON a.match_no = s.match_no AND a.frame_index = s.frame_index AND a.attacks LEFT JOIN areas d ON d.match_no = s.match_no AND d.frame_index = s.frame_index AND NOT d.attacks""",
 }
+
+_BANKS = """,
+seeds AS (
+  SELECT match_no, frame_index, xs, list_transform(range(least(3, len(xs))), lambda i: xs[1 + CAST(floor((i + CAST(0.5 AS DOUBLE)) / least(3, len(xs)) * len(xs)) AS BIGINT) % len(xs)]) AS centres
+  FROM (SELECT match_no, frame_index, list_sort(list(x)) AS xs FROM def GROUP BY ALL)),
+steps AS (
+  SELECT match_no, frame_index, xs, centres, 0 AS step, false AS done FROM seeds
+  UNION ALL
+  SELECT match_no, frame_index, xs, moved, step + 1, list_max(list_transform(range(1, len(moved) + 1), lambda i: abs(moved[i] - centres[i]))) <= 1e-9 FROM (
+    SELECT *, list_transform(range(1, len(centres) + 1), lambda i: coalesce(list_avg(list_filter(xs, lambda x:
+      list_position(list_transform(centres, lambda c: abs(x - c)), list_min(list_transform(centres, lambda c: abs(x - c)))) = i)), centres[i])) AS moved
+    FROM steps WHERE step < 50 AND NOT done)),
+banks AS (SELECT match_no, frame_index, list_sort(arg_max(centres, step)) AS centres FROM steps GROUP BY ALL),
+broken AS (SELECT r.*, len(list_filter(b.centres, lambda c: r.x > c)) AS lines_broken FROM rated r JOIN banks b ON r.match_no = b.match_no AND r.frame_index = b.frame_index)"""
+_RECURSIVE = SCENES.replace("WITH ", "WITH RECURSIVE ", 1)
+_SPACE = CELLS + f""",
+firsts AS (SELECT match_no, frame_index, cell, any_value(v) AS v, min(t) FILTER (attacks) AS ta, min(t) FILTER (NOT attacks) AS td, arg_min(track_id, t) AS track_id FROM times GROUP BY match_no, frame_index, cell),
+space AS (SELECT match_no, frame_index, sum(1 / (1 + exp((ta - td) / {_D(0.45)}))) AS team_space, sum(v / (1 + exp((ta - td) / {_D(0.45)}))) AS team_dangerous_space FROM firsts GROUP BY ALL),
+owned AS (SELECT match_no, frame_index, track_id, count(*) AS n FROM firsts GROUP BY ALL)"""
+
+ORACLES |= {
+    "defensive_banks": _RECURSIVE + _BANKS + " SELECT match_no, frame_index, " + ", ".join(f"CAST(count(*) FILTER (lines_broken >= {k}) AS INTEGER) AS beyond_{k}" for k in (1, 2, 3)) + " FROM broken GROUP BY ALL",
+    "frame_scores": _RECURSIVE + _BANKS + _SPACE + _HULL + """,
+counts AS (SELECT match_no, frame_index, CAST(count(*) FILTER (is_available) AS INTEGER) AS available_options, CAST(count(*) AS INTEGER) AS n_players FROM rated GROUP BY ALL)
+SELECT c.match_no, c.frame_index, attacking_team, round(team_space, 6) AS team_space, round(team_dangerous_space, 6) AS team_dangerous_space, round(coalesce(a.area, 0), 6) AS attacking_hull, round(coalesce(d.area, 0), 6) AS defending_hull,
+  round(offside_line, 6) AS offside_line, array_to_string(list_transform(centres, lambda x: printf('%.6f', x)), ' ') AS banks, available_options, n_players
+FROM counts c JOIN gate USING (match_no, frame_index) JOIN space USING (match_no, frame_index) JOIN line USING (match_no, frame_index) JOIN banks USING (match_no, frame_index)
+LEFT JOIN areas a ON a.match_no = c.match_no AND a.frame_index = c.frame_index AND a.attacks LEFT JOIN areas d ON d.match_no = c.match_no AND d.frame_index = c.frame_index AND NOT d.attacks""",
+    "match_player_summary": _RECURSIVE + _BANKS + _SPACE + """
+SELECT b.match_no, b.track_id, count(*) AS frames, round(median(CAST(coalesce(n, 0) AS DOUBLE)), 6) AS median_space_owned, round(median(position_value), 6) AS median_position_value, round(median(offside_margin), 6) AS median_offside_margin,
+  round(median(nearest_opponent), 6) AS median_nearest_opponent, round(avg(CASE WHEN is_available THEN 1.0 ELSE 0.0 END), 6) AS availability_rate, round(avg(CASE WHEN offside_margin > 0 THEN 1.0 ELSE 0.0 END), 6) AS offside_rate,
+  round(avg(lines_broken), 6) AS mean_lines_broken, round(avg(marking_pressure), 6) AS mean_pressure
+FROM broken b LEFT JOIN owned o ON b.match_no = o.match_no AND b.frame_index = o.frame_index AND b.track_id = o.track_id GROUP BY ALL""",
+}
