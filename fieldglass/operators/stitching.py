@@ -48,12 +48,12 @@ def candidate_links(spans: DataFrame, rates: DataFrame, config: StitchConfig = S
     used = spans.where((F.col("first_frame") <= F.col("last_frame")) & F.col("first_x").isNotNull() & F.col("first_y").isNotNull() & F.col("last_x").isNotNull() & F.col("last_y").isNotNull())
     cols = [key, "track_id", "first_frame", "last_frame", "first_x", "first_y", "last_x", "last_y", "last_vx", "last_vy", "team"]
     used = used.select(*cols).dropDuplicates([key, "track_id"]).join(fps, key).withColumn("_reach", F.col("_fps") * config.max_gap_seconds)
-    bucket = lambda c: F.floor(F.col(c) / F.col("_reach"))
+    bucket = lambda c: F.floor(F.try_divide(F.col(c), F.col("_reach")))
     ends = used.withColumn("_bucket", F.explode(F.array(bucket("last_frame"), bucket("last_frame") + 1)))
     ends = ends.select(key, "_bucket", "_fps", F.col("track_id").alias("pred"), F.col("last_frame").alias("_until"), "last_x", "last_y", F.coalesce("last_vx", F.lit(0.0)).alias("_vx"), F.coalesce("last_vy", F.lit(0.0)).alias("_vy"), F.col("team").alias("_team"))
     starts = used.select(key, bucket("first_frame").alias("_bucket"), F.col("track_id").alias("succ"), F.col("first_frame").alias("_from"), "first_x", "first_y", "team")
     pairs = ends.join(starts, [key, "_bucket"]).where((F.col("_until") < F.col("_from")) & (F.col("pred") != F.col("succ")))
-    gap = (F.col("_from") - F.col("_until")) / F.col("_fps")
+    gap = F.try_divide(F.col("_from") - F.col("_until"), F.col("_fps"))
     pairs = pairs.withColumn("gap_seconds", gap).where(F.col("gap_seconds") <= config.max_gap_seconds)
     if config.respect_teams:
         known = lambda c: F.coalesce(F.col(c), F.lit("unknown"))
@@ -61,7 +61,7 @@ def candidate_links(spans: DataFrame, rates: DataFrame, config: StitchConfig = S
     x, y = F.col("last_x") + F.col("_vx") * F.col("gap_seconds"), F.col("last_y") + F.col("_vy") * F.col("gap_seconds")
     pairs = pairs.withColumn("distance", g.distance(x, y, F.col("first_x"), F.col("first_y"))).where(F.col("distance") <= config.max_distance)
     straight = g.distance(F.col("last_x"), F.col("last_y"), F.col("first_x"), F.col("first_y"))
-    return pairs.where(straight / F.col("gap_seconds") <= config.max_speed).select(key, "pred", "succ", "distance", "gap_seconds")
+    return pairs.where(straight <= config.max_speed * F.col("gap_seconds")).select(key, "pred", "succ", "distance", "gap_seconds")
 
 
 def best_first_matching(links: DataFrame, key: str = "job_id", max_rounds: int = 200) -> DataFrame:
