@@ -162,7 +162,7 @@ def test_lines_and_annotated_images(spark):
     for name, ends in {"Side line left": ((0, 5), (0, 60)), "Middle line": ((52.5, 5), (52.5, 60)), "Side line top": ((5, 0), (90, 0)), "Big rect. left bottom": ((0, 54.16), (16.5, 54.16)), "Circle central": ((50, 30), (55, 40))}.items():
         for e in ends:
             u, v = image(*e)
-            rows.append(("img", name, u / 1919, v / 1079))
+            rows.append(("img", name, float(u / 1919), float(v / 1079)))
     rows += [("few", *r[1:]) for r in rows[:4]]
     (fit,) = calibrate_annotations(spark.createDataFrame(rows, "image_id string, class string, x double, y double"), 1920, 1080).collect()
     u, v = image(30.0, 20.0)
