@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from fieldglass.functions import geometry as g
+from fieldglass.session import spread
 
 
 @dataclass(frozen=True)
@@ -98,7 +99,7 @@ def calibrate(keypoints: DataFrame, key: tuple[str, ...] = ("match_no", "frame_i
     error. Pairs with a null coordinate are left out. Frames are worked off in Arrow batches.
     """
     whole = keypoints.where(F.col("img_x").isNotNull() & F.col("img_y").isNotNull() & F.col("pitch_x").isNotNull() & F.col("pitch_y").isNotNull())
-    lists = whole.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "img_x", "img_y", "pitch_x", "pitch_y"))).alias("_k"))
+    lists = spread(whole, *key).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("ord", "img_x", "img_y", "pitch_x", "pitch_y"))).alias("_k"))
     lists = lists.select(*key, *[F.col(f"_k.{c}").alias(c) for c in ("img_x", "img_y", "pitch_x", "pitch_y")])
     fields = T.StructType([lists.schema[k] for k in key] + CALIBRATION)
 

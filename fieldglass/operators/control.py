@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldglass.functions import geometry as g
+from fieldglass.operators.scenes import KEY
+from fieldglass.session import spread
 
 
 @dataclass(frozen=True)
@@ -123,7 +125,8 @@ def with_space(scenes: DataFrame, grid: Grid = Grid(), *, k: int = 3) -> DataFra
     """Scenes with team_space, team_dangerous_space, hulls, ownership (per attacker, in order) and defensive_lines.
 
     One arrival-time field per frame serves control and ownership. Frames come in Arrow batches and are worked off one
-    by one, so a task holds one field (players x cells) at a time; nothing is shuffled.
+    by one, so a task holds one field (players x cells) at a time. They are spread by frame first, as a match may have a
+    large part of all frames and possession has left each match in one partition.
     """
     parts = ("ord", "track_id", "x", "y", "vx", "vy")
     plain = [c for c in scenes.columns if c not in ("attackers", "defenders")]
@@ -140,7 +143,7 @@ def with_space(scenes: DataFrame, grid: Grid = Grid(), *, k: int = 3) -> DataFra
                 rows.append((control.sum() * grid.cell_area, (control * values).sum() * grid.cell_area, hull_area(ax, ay), hull_area(dx, dy), owned_areas(grid, times)[: len(ax)], banks(dx, k)))
             yield pd.concat([b[names].reset_index(drop=True), pd.DataFrame(rows, columns=[f.name for f in SCORED])], axis=1)
 
-    scored = flat.mapInPandas(score, T.StructType(list(flat.schema.fields) + SCORED))
+    scored = spread(flat, *KEY).mapInPandas(score, T.StructType(list(flat.schema.fields) + SCORED))
     for side in ("attackers", "defenders"):
         zipped = F.arrays_zip(*[F.col(f"_{side}_{c}") for c in parts])
         scored = scored.withColumn(side, F.transform(zipped, _renamed(side, parts)))

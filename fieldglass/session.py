@@ -39,20 +39,40 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[app]
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/fieldglass-{spark.sparkContext.applicationId}"
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has written to the shared folder; only once no result of it is read any more."""
+    _delete(spark, _scratch(spark))
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over as many partitions as spark.sql.shuffle.partitions says, by keys.
+
+    For stages that compute much on few bytes: adaptive execution would join their partitions by size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 class Materialised:
     """A DataFrame written to the shared folder; reading it again needs none of the tasks that made it."""
 
     def __init__(self, df: DataFrame, name: str):
         self._spark = df.sparkSession
-        self.path = f"{shared_dir(self._spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{_scratch(self._spark)}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = self._spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Delete the files; only once nothing reads them any more."""
-        jvm = self._spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self._spark, self.path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
