@@ -105,7 +105,7 @@ def with_carrier(scenes: DataFrame) -> DataFrame:
     return scenes.withColumn("carrier_id", F.array_min(near)["id"])
 
 
-def off_ball_players(scenes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+def supporting_players(scenes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """One row per attacker without the ball, with all metrics that compare players of the frame.
 
     Needs offside_line and carrier_id; lines_broken too where defensive_lines is there. lane_clearance is infinite

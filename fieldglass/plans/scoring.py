@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions import geometry as g
 from fieldglass.operators.control import team_shape, with_space
-from fieldglass.operators.scenes import KEY, assemble, gated, off_ball_players, with_carrier, with_offside_line, with_possession, with_velocity
+from fieldglass.operators.scenes import KEY, assemble, gated, supporting_players, with_carrier, with_offside_line, with_possession, with_velocity
 from fieldglass.sources.tracking import OBJECTS_SQL, tracking_from_events
 
 
@@ -51,18 +51,18 @@ def offside_line(spark: SparkSession, base: str) -> DataFrame:
 _PLAYER = ("offside_margin", "lane_clearance", "nearest_opponent", "marking_pressure", "position_value")
 
 
-def off_ball_metrics(spark: SparkSession, base: str) -> DataFrame:
-    rows = off_ball_players(lined(spark, base)).select(*KEY, "track_id", *_PLAYER, "lane_open", "blockers", "is_available")
+def support_metrics(spark: SparkSession, base: str) -> DataFrame:
+    rows = supporting_players(lined(spark, base)).select(*KEY, "track_id", *_PLAYER, "lane_open", "blockers", "is_available")
     return rounded(rows, *_PLAYER)
 
 
 def available_options(spark: SparkSession, base: str) -> DataFrame:
-    return off_ball_players(lined(spark, base)).groupBy(*KEY).agg(F.count_if("is_available").cast("int").alias("available_options"))
+    return supporting_players(lined(spark, base)).groupBy(*KEY).agg(F.count_if("is_available").cast("int").alias("available_options"))
 
 
 def offside_report(spark: SparkSession, base: str) -> DataFrame:
     """Per match and track: frames off the ball, offside rate and median margin."""
-    rows = off_ball_players(lined(spark, base))
+    rows = supporting_players(lined(spark, base))
     return rows.groupBy("match_no", "track_id").agg(
         F.count(F.lit(1)).alias("frames"), r6(F.avg(g.is_offside(F.col("offside_margin")).cast("double"))).alias("offside_rate"), r6(F.median("offside_margin")).alias("median_offside_margin")
     )
@@ -87,21 +87,21 @@ def hulls(spark: SparkSession, base: str) -> DataFrame:
 
 def defensive_banks(spark: SparkSession, base: str) -> DataFrame:
     """Lines of the defence per frame and how many players of the attack are beyond each number of them."""
-    rows = off_ball_players(with_space(lined(spark, base)))
+    rows = supporting_players(with_space(lined(spark, base)))
     return rows.groupBy(*KEY).agg(*[F.count_if(F.col("lines_broken") >= k).cast("int").alias(f"beyond_{k}") for k in (1, 2, 3)])
 
 
 def frame_scores(spark: SparkSession, base: str) -> DataFrame:
     """All measures of every scored frame."""
     scored = with_space(lined(spark, base))
-    players = off_ball_players(scored).groupBy(*KEY).agg(F.count_if("is_available").cast("int").alias("available_options"), F.count(F.lit(1)).cast("int").alias("n_players"))
+    players = supporting_players(scored).groupBy(*KEY).agg(F.count_if("is_available").cast("int").alias("available_options"), F.count(F.lit(1)).cast("int").alias("n_players"))
     frames = scored.select(*KEY, "attacking_team", "team_space", "team_dangerous_space", "attacking_hull", "defending_hull", "offside_line", F.array_join(F.transform("defensive_lines", lambda c: F.format_string("%.6f", c)), " ").alias("banks"))
     return rounded(frames.join(players, list(KEY)), "team_space", "team_dangerous_space", "attacking_hull", "defending_hull", "offside_line")
 
 
 def match_player_summary(spark: SparkSession, base: str) -> DataFrame:
     """Per match and track over the scored frames: medians, rates and means."""
-    rows = off_ball_players(with_space(lined(spark, base)))
+    rows = supporting_players(with_space(lined(spark, base)))
     out = rows.groupBy("match_no", "track_id").agg(
         F.count(F.lit(1)).alias("frames"), *[F.median(c).alias(f"median_{c}") for c in ("space_owned", "position_value", "offside_margin", "nearest_opponent")],
         F.avg(F.col("is_available").cast("double")).alias("availability_rate"), F.avg(g.is_offside(F.col("offside_margin")).cast("double")).alias("offside_rate"), F.avg("lines_broken").alias("mean_lines_broken"), F.avg("marking_pressure").alias("mean_pressure"),
@@ -111,7 +111,7 @@ def match_player_summary(spark: SparkSession, base: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (velocity, possession, frame_gate, offside_line, off_ball_metrics, available_options, offside_report, space_control, space_ownership, hulls, defensive_banks, frame_scores, match_player_summary)
+    for f in (velocity, possession, frame_gate, offside_line, support_metrics, available_options, offside_report, space_control, space_ownership, hulls, defensive_banks, frame_scores, match_player_summary)
 }
 
 _D = "CAST({} AS DOUBLE)".format
@@ -181,7 +181,7 @@ ORACLES = {
     "possession": SCENES + " SELECT match_no, frame_index, team AS attacking_team FROM held",
     "frame_gate": SCENES + " SELECT match_no, frame_index, attacking_team, flip, CAST(na AS INTEGER) AS n_attackers, CAST(nd AS INTEGER) AS n_defenders FROM gate",
     "offside_line": SCENES + " SELECT match_no, frame_index, round(offside_line, 6) AS offside_line, carrier_id FROM line JOIN carrier USING (match_no, frame_index)",
-    "off_ball_metrics": SCENES + " SELECT match_no, frame_index, track_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in _PLAYER) + ", lane_open, CAST(blockers AS INTEGER) AS blockers, is_available FROM rated",
+    "support_metrics": SCENES + " SELECT match_no, frame_index, track_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in _PLAYER) + ", lane_open, CAST(blockers AS INTEGER) AS blockers, is_available FROM rated",
     "available_options": SCENES + " SELECT match_no, frame_index, CAST(count(*) FILTER (is_available) AS INTEGER) AS available_options FROM rated GROUP BY ALL",
     "offside_report": SCENES + " SELECT match_no, track_id, count(*) AS frames, round(avg(CASE WHEN offside_margin > 0 THEN 1.0 ELSE 0.0 END), 6) AS offside_rate, round(median(offside_margin), 6) AS median_offside_margin FROM rated GROUP BY ALL",
     "space_control": SCENES + CELLS + f""", firsts AS (SELECT match_no, frame_index, cell, any_value(v) AS v, min(t) FILTER (attacks) AS ta, min(t) FILTER (NOT attacks) AS td FROM times GROUP BY match_no, frame_index, cell)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldglass.operators.control import Grid, with_space
-from fieldglass.operators.scenes import assemble, gated, off_ball_players, with_carrier, with_offside_line, with_possession, with_velocity
+from fieldglass.operators.scenes import assemble, gated, supporting_players, with_carrier, with_offside_line, with_possession, with_velocity
 
 OBS = "match_no bigint, frame_index int, ord int, track_id int, team string, x double, y double, vx double, vy double, extra string"
 FRAMES = "match_no bigint, frame_index int, ball_x double, ball_y double, attacking_team string"
@@ -28,17 +28,17 @@ def test_offside_line_is_second_last_defender_or_ball(spark, ball, want):
 
 def test_margins(spark):
     s = with_carrier(with_offside_line(scene(spark, [(80.0, 30.0), (60.0, 30.0), (10.0, 30.0)], [(70.0, 30.0), (72.0, 30.0), (75.0, 30.0)], (10.0, 30.0))))
-    rows = off_ball_players(s).orderBy("track_id").collect()
+    rows = supporting_players(s).orderBy("track_id").collect()
     assert [(r.track_id, r.offside_margin) for r in rows] == [(100, 8.0), (101, -12.0)]
 
 
 def test_lanes(spark):
     home, ball = [(0.0, 0.0), (20.0, 0.0)], (0.0, 0.0)
     near = with_carrier(with_offside_line(scene(spark, home, [(10.0, 0.5), (90.0, 60.0)], ball)))
-    (r,) = off_ball_players(near).collect()
+    (r,) = supporting_players(near).collect()
     assert not r.lane_open and r.blockers == 1 and r.lane_clearance == pytest.approx(0.5)
     behind = with_carrier(with_offside_line(scene(spark, [(10.0, 0.0), (30.0, 0.0)], [(0.0, 0.0), (90.0, 60.0)], (10.0, 0.0))))
-    (r,) = off_ball_players(behind).collect()
+    (r,) = supporting_players(behind).collect()
     assert r.lane_open and r.blockers == 0
 
 
@@ -64,7 +64,7 @@ def test_mirrored_scene_gives_the_same_measures(spark):
     for s in both:
         scored = with_space(with_carrier(with_offside_line(s)), Grid(21, 14))
         frame = scored.collect()[0]
-        players = [(r.track_id, round(r.offside_margin, 9), round(r.lane_clearance, 9), r.lines_broken) for r in off_ball_players(scored).orderBy("track_id").collect()]
+        players = [(r.track_id, round(r.offside_margin, 9), round(r.lane_clearance, 9), r.lines_broken) for r in supporting_players(scored).orderBy("track_id").collect()]
         out.append((round(frame.offside_line, 9), round(frame.team_dangerous_space, 6), round(frame.attacking_hull, 9), players))
     assert out[0] == out[1]
 
