@@ -85,8 +85,8 @@ def shoulder_runners(players: DataFrame, band: float = 2.0, min_frames: int = MI
 def unreachable_players(players: DataFrame, max_availability: float = 0.3, min_frames: int = MIN_FRAMES) -> DataFrame:
     """Reliable players with at least the median space of such players, yet seldom available."""
     pool = reliable(players, min_frames)
-    middle = pool.agg(F.median("median_space_owned").alias("_middle"))  # one row
-    return pool.join(F.broadcast(middle)).where((F.col("median_space_owned") >= F.col("_middle")) & (F.col("availability_rate") <= max_availability)).drop("_middle")
+    middle = pool.agg(F.median("median_space_owned")).first()[0]
+    return pool.where((F.col("median_space_owned") >= F.lit(middle)) & (F.col("availability_rate") <= max_availability))
 
 
 def run_quality(jobs: DataFrame, players: DataFrame, min_frames: int = MIN_FRAMES, min_coverage: float = MIN_COVERAGE) -> DataFrame:

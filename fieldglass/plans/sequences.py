@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from fieldglass.functions import geometry as g
 from fieldglass.operators import ball as bl
 from fieldglass.operators import calibration as cal
+from fieldglass.operators import lines as ln
 from fieldglass.operators import teams as tm
 from fieldglass.operators.scenes import with_velocity
 from fieldglass.operators.stitching import track_extents
@@ -158,9 +159,42 @@ def track_lines(spark: SparkSession, base: str) -> DataFrame:
     return rounded(cal.fitted_lines(players, ["match_no", "track_id"]), "a", "b", "c")
 
 
+def calibration_rates(spark: SparkSession, base: str) -> DataFrame:
+    """Share of each match's frames that could be calibrated."""
+    _, frames = tracking_from_events(spark, base)
+    fits = frames.select("match_no", "frame_index").join(cal.calibrate(_keypoints(spark, base)), ["match_no", "frame_index"], "left")
+    return fits.groupBy("match_no").agg(F.avg(F.col("h").isNotNull().cast("double")).alias("rate"), F.avg("inliers").alias("mean_inliers"))
+
+
+def _line_table(spark: SparkSession, base: str) -> DataFrame:
+    players, _ = tracking_from_events(spark, base)
+    lines = cal.fitted_lines(players, ["match_no", "track_id"])
+    rho, theta = g.line_normal_form(F.col("c"), F.atan2("b", "a"))
+    return lines.select("match_no", "track_id", rho.alias("rho"), theta.alias("theta"), (1000.0 - F.col("track_id")).alias("strength"))
+
+
+def merged_track_lines(spark: SparkSession, base: str) -> DataFrame:
+    """Track lines without near repeats, in two families of direction."""
+    kept = ln.merge_lines(_line_table(spark, base), ["match_no"], least_gap=2.0, extent=40.0)
+    return rounded(ln.line_families(kept, ["match_no"]), "rho", "theta")
+
+
+def strongest_track_lines(spark: SparkSession, base: str) -> DataFrame:
+    """The five strongest track lines of each match."""
+    return rounded(ln.strongest_lines(_line_table(spark, base), ["match_no"], 5).select("match_no", "track_id", "rho", "theta"), "rho", "theta")
+
+
+def side_ellipses(spark: SparkSession, base: str) -> DataFrame:
+    """Centre and half axes of the ellipse nearest to a side's players, where it is one."""
+    players, _ = tracking_from_events(spark, base)
+    conics = ln.fitted_conics(players, ["match_no", "frame_index", "team"])
+    shape = g.ellipse_of([F.get("conic", F.lit(i)) for i in range(6)])
+    return rounded(conics.select("match_no", "frame_index", "team", *[shape[c].alias(c) for c in ("cx", "cy", "major", "minor")]).where(F.col("cx").isNotNull()), "cx", "cy", "major", "minor")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (ball_interpolated, ball_smoothed, ball_accepted, ball_repaired, ball_best_candidate, ball_path, run_counters, track_spans, team_votes, goalkeepers, box_overlaps, projected_places,
+    for f in (calibration_rates, merged_track_lines, strongest_track_lines, side_ellipses, ball_interpolated, ball_smoothed, ball_accepted, ball_repaired, ball_best_candidate, ball_path, run_counters, track_spans, team_votes, goalkeepers, box_overlaps, projected_places,
               tracked_detections, calibrations, calibration_quality, gated_calibrations, distance_tails, track_lines)
 }
 
@@ -220,6 +254,10 @@ SELECT match_no, frame_index, ord, round(CASE WHEN a1 IS NULL THEN 0 ELSE inter
     "projected_places": f"WITH {OBJECTS_SQL}, seen_at AS ({_SEEN}) SELECT match_no, frame_index, ord, round(ix, 6) AS img_x, round(iy, 6) AS img_y, round(x, 6) AS x, round(y, 6) AS y FROM seen_at",
     "distance_tails": """SELECT job_id, n, round(median, 6) AS median, round(v[1 + least(n - 1, CAST(floor(n * CAST(0.9 AS DOUBLE)) AS BIGINT))], 6) AS p90, round(v[n], 6) AS worst FROM (
   SELECT job_id, count(*) AS n, median(predicted_distance) AS median, list_sort(list(predicted_distance)) AS v FROM track_pair WHERE predicted_distance IS NOT NULL AND NOT isnan(predicted_distance) GROUP BY ALL)""",
+    "strongest_track_lines": SCENES + """, t AS (SELECT match_no, track_id, avg(x) AS mx, avg(y) AS my, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS th FROM moving GROUP BY ALL HAVING count(*) >= 2),
+l AS (SELECT match_no, track_id, atan2(cos(th), -sin(th)) AS theta, -sin(th) * mx + cos(th) * my AS rho FROM t),
+n AS (SELECT match_no, track_id, CASE WHEN CAST(floor(theta / pi()) AS BIGINT) % 2 <> 0 THEN -rho ELSE rho END AS rho, theta - floor(theta / pi()) * pi() AS theta FROM l)
+SELECT match_no, track_id, round(rho, 6) AS rho, round(theta, 6) AS theta FROM (SELECT *, row_number() OVER (PARTITION BY match_no ORDER BY track_id) AS k FROM n) WHERE k <= 5""",
     "track_lines": SCENES + """, t AS (SELECT match_no, track_id, avg(x) AS mx, avg(y) AS my, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS th FROM moving GROUP BY ALL HAVING count(*) >= 2)
 SELECT match_no, track_id, round(-sin(th), 6) AS a, round(cos(th), 6) AS b, round(-sin(th) * mx + cos(th) * my, 6) AS c FROM t""",
 }
