@@ -108,3 +108,13 @@ def track_detections(detections: DataFrame, frames: DataFrame, config: TrackerCo
         return pd.DataFrame(out, columns=[match, "frame_index", "track_id", *boxes, "confidence"])
 
     return rows.groupBy(match).applyInPandas(fold, f"{match} {kind}, frame_index int, {TRACKED}")
+
+
+def usable_detections(detections: DataFrame, *, labels: dict[str, str] | None = None, floors: dict[str, float] | None = None) -> DataFrame:
+    """Detections with their classes named (others dropped) and those below their class's floor of confidence left out."""
+    named = detections
+    if labels:
+        named = named.withColumn("label", F.coalesce(*[F.when(F.col("label") == k, v) for k, v in labels.items()])).where(F.col("label").isNotNull())
+    for label, floor in (floors or {}).items():
+        named = named.where(~F.col("label").eqNullSafe(label) | (F.coalesce("confidence", F.lit(0.0)) >= floor))
+    return named

@@ -12,6 +12,7 @@ from fieldglass.operators import ball as bl
 from fieldglass.operators import calibration as cal
 from fieldglass.operators import lines as ln
 from fieldglass.operators import teams as tm
+from fieldglass.operators.analysis import Analysis, analyse
 from fieldglass.operators.scenes import with_velocity
 from fieldglass.operators.stitching import track_extents
 from fieldglass.operators.tracking import track_detections
@@ -192,9 +193,28 @@ def side_ellipses(spark: SparkSession, base: str) -> DataFrame:
     return rounded(conics.select("match_no", "frame_index", "team", *[shape[c].alias(c) for c in ("cx", "cy", "major", "minor")]).where(F.col("cx").isNotNull()), "cx", "cy", "major", "minor")
 
 
+def _analysis(spark: SparkSession, base: str) -> Analysis:
+    """The whole analysis, from boxes and keypoints seen through the camera."""
+    camera = [g.lit(v) for v in CAMERA]
+    seen = g.project(camera, F.col("x"), F.col("y"))
+    objects = objects_from_events(spark, base).where("seen").withColumns({"u": seen[0], "v": seen[1]})
+    box = {"x1": F.col("u") - 20, "y1": F.col("v") - 90, "x2": F.col("u") + 20, "y2": F.col("v")}
+    boxes = objects.where(F.col("ord") != 23).withColumns(box).withColumn("label", F.when(F.col("ord") == 0, "ball").otherwise("player"))
+    boxes = boxes.withColumn("confidence", F.greatest("confidence", F.lit(0.5)))
+    votes = boxes.where(F.col("ord") > 0).select("match_no", "frame_index", "x1", "y1", F.when(F.col("ord") <= 11, "home").otherwise("away").alias("vote"))
+    _, frames = tracking_from_events(spark, base)
+    detections = boxes.select("match_no", "frame_index", "ord", "label", "confidence", "x1", "y1", "x2", "y2")
+    return analyse(detections, _keypoints(spark, base), frames, votes)
+
+
+def full_analysis(spark: SparkSession, base: str) -> DataFrame:
+    """Counters of the whole analysis of every match."""
+    return rounded(_analysis(spark, base).counters, "coverage")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (calibration_rates, merged_track_lines, strongest_track_lines, side_ellipses, ball_interpolated, ball_smoothed, ball_accepted, ball_repaired, ball_best_candidate, ball_path, run_counters, track_spans, team_votes, goalkeepers, box_overlaps, projected_places,
+    for f in (full_analysis, calibration_rates, merged_track_lines, strongest_track_lines, side_ellipses, ball_interpolated, ball_smoothed, ball_accepted, ball_repaired, ball_best_candidate, ball_path, run_counters, track_spans, team_votes, goalkeepers, box_overlaps, projected_places,
               tracked_detections, calibrations, calibration_quality, gated_calibrations, distance_tails, track_lines)
 }
 

@@ -64,3 +64,10 @@ def violations(df: DataFrame, rules: list[Rule]) -> DataFrame:
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Key values that more than one row has, with their number of rows."""
     return df.groupBy(*keys).count().where(F.col("count") > 1).withColumnRenamed("count", "n_rows")
+
+
+def validate_run(*, fps: float, stride: int = 1, length: float = 105.0, width: float = 68.0) -> None:
+    """Raise where the parameters of a run are out of range."""
+    for name, value, low, high in (("fps", fps, 0.0, 120.0), ("stride", stride, 1, 25), ("length", length, 90.0, 120.0), ("width", width, 45.0, 90.0)):
+        if not low <= value <= high or (name == "fps" and value <= 0):
+            raise ValueError(f"{name} {value} is not within {low} to {high}")
