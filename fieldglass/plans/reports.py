@@ -160,6 +160,7 @@ ORACLES = {
     "team_threat": f"SELECT job_id, attacking_side, round(CASE WHEN c > 0 THEN d / c ELSE 0 END, 6) AS threat_efficiency FROM (SELECT job_id, attacking_side, median(team_space) AS c, median(team_dangerous_space) AS d FROM ({_TEAM}) GROUP BY ALL)",
     "run_coverage": "SELECT job_id, round(c, 9) AS coverage, round(c, 4) AS stored_coverage FROM (SELECT job_id, CASE WHEN frames_total > 0 THEN CAST(frames_scored AS DOUBLE) / CAST(frames_total AS DOUBLE) ELSE 0 END AS c FROM analysis_job)",
     "player_report": _REPORT + " SELECT * FROM rep",
+    "report_documents": _REPORT + " SELECT CAST(to_json({'job_id': job_id, 'track_id': track_id, 'side': side, 'frames': frames, 'is_reliable': is_reliable}) AS VARCHAR) AS report FROM rep",
     "top_space": _SUMS + f" SELECT job_id, track_id, frames, median_space_owned FROM s WHERE frames >= {FEW} ORDER BY median_space_owned DESC NULLS LAST, job_id, track_id LIMIT 25",
     "reliable_players": _SUMS + f" SELECT job_id, track_id, frames FROM s WHERE frames >= {FEW}",
     "shoulder_runners": _SUMS + f" SELECT job_id, track_id, median_offside_margin FROM s WHERE frames >= {FEW} AND median_offside_margin BETWEEN -2 AND 0",

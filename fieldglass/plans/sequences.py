@@ -251,7 +251,28 @@ _BOXES = f"WITH {OBJECTS_SQL}, boxes AS (SELECT match_no, frame_index, ord, x *
 _H = "({0} * {3} + {1} * {4} + {2})".format
 _SEEN = f"SELECT match_no, frame_index, ord, x, y, {_H(_D(9.5), _D(2.1), 180, 'x', 'y')} / {_H(_D(-0.0012), _D(0.0041), 1, 'x', 'y')} AS ix, {_H(_D(-0.4), _D(6.2), 90, 'x', 'y')} / {_H(_D(-0.0012), _D(0.0041), 1, 'x', 'y')} AS iy FROM objects"
 
+# The keypoints are made so that the outcome is known: every pair that is not shifted is an inlier, and the camera is recovered.
+_FITS = f"""WITH {OBJECTS_SQL}, fits AS (SELECT match_no, frame_index, CAST(count(*) FILTER ((ord + frame_index) % 9 <> 0) AS INTEGER) AS inliers, CAST(count(*) AS INTEGER) AS total_keypoints FROM objects WHERE seen GROUP BY ALL)"""
+_PATH = f"""WITH RECURSIVE {OBJECTS_SQL},
+spine AS (SELECT match_no, frame_index, dense_rank() OVER (PARTITION BY match_no ORDER BY frame_index) AS k FROM (SELECT DISTINCT match_no, frame_index FROM objects)),
+options AS (
+  SELECT s.match_no, s.frame_index, s.k, row_number() OVER (PARTITION BY s.match_no, s.k ORDER BY ord) AS j, x, y, 1 - confidence AS emit FROM spine s JOIN objects o ON s.match_no = o.match_no AND s.frame_index = o.frame_index WHERE ord IN (0, 11, 23) AND seen
+  UNION ALL SELECT match_no, frame_index, k, 99, NULL, NULL, {_D(1.2)} FROM spine),
+walk AS (
+  SELECT match_no, k, j, x, y, emit AS cost, [{{'f': frame_index, 'x': x, 'y': y}}] AS path FROM options WHERE k = 1
+  UNION ALL
+  SELECT match_no, k, j, x, y, best.total + emit, list_append(best.path, {{'f': frame_index, 'x': x, 'y': y}}) FROM (
+    SELECT o.match_no, o.frame_index, o.k, o.j, o.x, o.y, o.emit, min({{'total': w.cost + CASE WHEN o.x IS NULL OR w.x IS NULL THEN 0 ELSE {_D(0.05)} * sqrt((o.x - w.x) ** 2 + (o.y - w.y) ** 2) END, 'j': w.j, 'path': w.path}}) AS best
+    FROM walk w JOIN options o ON o.match_no = w.match_no AND o.k = w.k + 1
+    WHERE o.x IS NULL OR w.x IS NULL OR sqrt((o.x - w.x) ** 2 + (o.y - w.y) ** 2) / {_D(0.04)} <= 45 GROUP BY ALL)),
+ends AS (SELECT match_no, arg_min(path, {{'cost': cost, 'j': j}}) AS path FROM walk w WHERE k = (SELECT max(k) FROM spine s WHERE s.match_no = w.match_no) GROUP BY match_no)"""
+
 ORACLES = {
+    "ball_path": _PATH + " SELECT match_no, s.f AS frame_index, s.x AS x, s.y AS y FROM (SELECT match_no, unnest(path) AS s FROM ends)",
+    "calibrations": _FITS + " SELECT match_no, frame_index, inliers, total_keypoints, CAST(0 AS DOUBLE) AS error, CAST(0 AS DOUBLE) AS truth_error FROM fits",
+    "calibration_rates": _FITS + " SELECT match_no, CAST(1 AS DOUBLE) AS rate, avg(inliers) AS mean_inliers FROM fits GROUP BY ALL",
+    "calibration_quality": _FITS + " SELECT match_no, count(*) AS n, CAST(0 AS DOUBLE) AS median, CAST(0 AS DOUBLE) AS p90, CAST(0 AS DOUBLE) AS worst FROM fits GROUP BY ALL",
+    "gated_calibrations": _FITS + " SELECT match_no, 'fitted' AS status, count(*) AS frames FROM fits GROUP BY ALL",
     "ball_interpolated": _BALL + _XY + _between("track", 3, 2),
     "ball_smoothed": _BALL + _XY + _averaged("track"),
     "ball_accepted": _BALL + _ACCEPTED + _XY + "accepted",

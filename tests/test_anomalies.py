@@ -62,3 +62,39 @@ def test_slow_and_fast_sources_differ():
     slow[30] += 8
     _, flag = flag_sequences(t, slow, np.full(60, 30.0) + t * 0.01, np.ones(60, bool), np.full(60, 0.1), np.zeros(60))
     assert flag.nonzero()[0].tolist() == [30]
+
+
+def test_query_is_consistent_with_the_rule_on_every_reading(spark, sf):
+    """Brute force over all readings: a reading is flagged iff the rule, given the other flags, says so."""
+    import duckdb
+
+    from fieldglass.plans.problems import p3_found
+
+    flagged = {tuple(r) for r in p3_found(spark, sf).collect()}
+    readings = duckdb.sql(f"""
+        SELECT 'player_frame_score' AS t, job_id, track_id, '' AS side, frame_index AS f, any_value(pitch_x) AS x, any_value(pitch_y) AS y FROM '{sf}/player_frame_score.parquet' WHERE isfinite(pitch_x) AND isfinite(pitch_y) GROUP BY ALL
+        UNION ALL SELECT 'frame_score', job_id, -1, attacking_side, frame_index, any_value(offside_line), NULL FROM '{sf}/frame_score.parquet' WHERE isfinite(offside_line) GROUP BY ALL ORDER BY 1, 2, 3, 4, 5""").fetchdf()
+    checked = 0
+    for (t, job, track, _), own in readings.groupby(["t", "job_id", "track_id", "side"], sort=False):
+        f, x = own.f.to_numpy(float), own.x.to_numpy()
+        y = own.y.fillna(0.0).to_numpy()
+        n = len(f)
+        step = np.hypot(np.diff(x), np.diff(y))
+        limit = max(4.0, 8 * np.median(step)) if n > 1 else 4.0
+        case = np.array([(t, job, int(track), int(k)) in flagged for k in own.f])
+        hard = (x < 0) | (x > 120) | (y < 0) | (y > 90)
+        for v in (x, y) if t == "player_frame_score" else (x,):
+            for i in range(n - 5):
+                if (v[i : i + 6] == v[i]).all():
+                    hard[i : i + 6] = True
+        calm = np.flatnonzero(~case)
+        for i in range(n):
+            before, after = calm[calm < i], calm[calm > i]
+            off = False
+            if len(before) and len(after):
+                a, b = before[-1], after[0]
+                w = (f[i] - f[a]) / (f[b] - f[a])
+                off = np.hypot(x[i] - x[a] - w * (x[b] - x[a]), y[i] - y[a] - w * (y[b] - y[a])) > limit
+            assert case[i] == (hard[i] or off), (t, job, track, f[i])
+            checked += 1
+    assert checked > 2000 and flagged
