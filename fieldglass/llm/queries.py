@@ -58,6 +58,13 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p7_mixture(spark: SparkSession, base: str) -> DataFrame:
+    """The drawn documents."""
+    documents = table(spark, base, "documents")
+    return draw_mixture(documents, mixing_rates(documents, table(spark, base, "mix_target"))).select("source", "doc_id", "copy", "size_tokens")
+
+
+def p7_shares(spark: SparkSession, base: str) -> DataFrame:
+    """Shares wanted and reached."""
     documents = table(spark, base, "documents")
     rates = mixing_rates(documents, table(spark, base, "mix_target"))
     return mixture_report(draw_mixture(documents, rates), rates)
@@ -73,7 +80,7 @@ def p8_mappings(spark: SparkSession, base: str) -> DataFrame:
     return repaired.groupBy(F.array_join(F.array_sort("mappings"), ", ").alias("mappings"), "restorable").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_team_space, p4_track_percentiles, p6_found, p6_fill, p7_found, p7_mixture, p8_found, p8_mappings)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p4_found, p4_team_space, p4_track_percentiles, p6_found, p6_fill, p7_found, p7_mixture, p7_shares, p8_found, p8_mappings)}
 
 _GROUPS = """
 WITH RECURSIVE spans AS (SELECT DISTINCT job_id, track_id FROM track_span WHERE job_id IS NOT NULL AND track_id IS NOT NULL),
