@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.session import Materialised
+from fieldglass.session import Materialised, materialise
 
 
 def hash_to_min(edges: DataFrame, *, keys: Sequence[str] = (), left: str, right: str, max_rounds: int = 100) -> DataFrame:
@@ -16,6 +16,9 @@ def hash_to_min(edges: DataFrame, *, keys: Sequence[str] = (), left: str, right:
     Nodes are only linked within one value of keys. Edges with a null key or end, and edges of a node with itself, link
     nothing. Repeated edges and either order of the ends count once. No edges give no rows.
 
+    Nodes first get number labels in an order that has nothing to do with their ids: in a chain of rising ids no node is
+    smaller than both its neighbours, and the cluster sets of all its nodes would grow to the length of the chain.
+
     The cluster sets of hash-to-min are kept as rows (node, member), so the set of a large group is spread over tasks
     like any other rows. In each round a node sends its members to its smallest member and that smallest member to all
     of them. The smallest member per node is pre-aggregated before the shuffle, and the join that brings it back meets
@@ -26,18 +29,26 @@ def hash_to_min(edges: DataFrame, *, keys: Sequence[str] = (), left: str, right:
     ends = edges.select(*keys, F.col(left).alias("_a"), F.col(right).alias("_b")).where(F.col("_a").isNotNull() & F.col("_b").isNotNull() & (F.col("_a") != F.col("_b")))
     for k in keys:
         ends = ends.where(F.col(k).isNotNull())
+    nodes = ends.select(*keys, F.explode(F.array("_a", "_b")).alias("node")).distinct()
+    labels = materialise(nodes.sortWithinPartitions(F.xxhash64(*keys, "node")).withColumn("label", F.monotonically_increasing_id()), "labels")
+    of = lambda end: labels.select(*keys, F.col("node").alias(end), F.col("label").alias(f"{end}_label"))
+    ends = ends.join(of("_a"), [*keys, "_a"]).join(of("_b"), [*keys, "_b"])
+
     pair = lambda v, u: F.struct(F.col(v).alias("node"), F.col(u).alias("member"))
-    clusters = ends.select(*keys, F.explode(F.array(pair("_a", "_b"), pair("_b", "_a"), pair("_a", "_a"), pair("_b", "_b"))).alias("_p"))
-    held = Materialised(clusters.select(*keys, "_p.node", "_p.member").distinct(), "clusters")
+    a, b = "_a_label", "_b_label"
+    clusters = ends.select(F.explode(F.array(pair(a, b), pair(b, a), pair(a, a), pair(b, b))).alias("_p"))
+    held = Materialised(clusters.select("_p.node", "_p.member").distinct(), "clusters")
     state = None
     for _ in range(max_rounds):
-        now = held.df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*keys, "node", "member"))).first()
+        now = held.df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("node", "member"))).first()
+        least = held.df.groupBy("node").agg(F.min("member").alias("_least"))
         if now == state:
-            return held.df.groupBy(*keys, "node").agg(F.min("member").alias("group_id"))
+            rooted = labels.join(least.withColumnRenamed("node", "label"), "label")
+            names = rooted.groupBy("_least").agg(F.min("node").alias("group_id"))
+            return rooted.join(names, "_least").select(*keys, "node", "group_id")
         state = now
-        least = held.df.groupBy(*keys, "node").agg(F.min("member").alias("_least"))
-        sent = held.df.join(least, [*keys, "node"]).select(*keys, F.explode(F.array(pair("_least", "member"), pair("member", "_least"))).alias("_p"))
-        after = Materialised(sent.select(*keys, "_p.node", "_p.member").distinct(), "clusters")
+        sent = held.df.join(least, "node").select(F.explode(F.array(pair("_least", "member"), pair("member", "_least"))).alias("_p"))
+        after = Materialised(sent.select("_p.node", "_p.member").distinct(), "clusters")
         held.drop()
         held = after
     raise RuntimeError(f"not stable after {max_rounds} rounds")

@@ -49,3 +49,14 @@ def test_match_groups(spark):
     got = match_groups(spans, pairs)
     assert sorted(map(tuple, got.collect())) == [("j", 1, 1), ("j", 2, 1), ("j", 3, 1)]
     assert [tuple(r) for r in group_extents(got, spans).collect()] == [("j", 1, 3, 0, 30)]
+
+
+def test_long_chain_of_rising_ids(spark):
+    pairs = [(i, i + 1) for i in range(1500)]
+    assert set(groups(spark, pairs).values()) == {0}
+
+
+def test_keys_keep_groups_apart_and_ids_may_be_text(spark):
+    df = spark.createDataFrame([("x", "b", "a"), ("y", "b", "c"), (None, "b", "d")], "k string, l string, r string")
+    got = {(r.k, r.node): r.group_id for r in hash_to_min(df, keys=["k"], left="l", right="r").collect()}
+    assert got == {("x", "a"): "a", ("x", "b"): "a", ("y", "b"): "b", ("y", "c"): "b"}
