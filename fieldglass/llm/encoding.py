@@ -27,6 +27,7 @@ class RepairConfig:
     """Thresholds, in bits of probability per adjacent pair of characters."""
 
     improbable: float = 1e-4  # pairs that carry less mutual information than this score positive
+    improbable_odd: float = 1e-2  # the same for pairs outside ASCII: damage in many like texts is not to pass for normal
     clip: float = 4.0
     gain_utf8: float = 10.0  # of the whole run: valid multi-byte sequences are evidence of their own
     gain_table: float = 3.0  # of the mean pair of a piece, where one single-byte table is taken for another
@@ -52,14 +53,17 @@ def _char_slot(a: np.ndarray) -> np.ndarray:
 def pair_counts(documents: DataFrame, text: str = "text") -> DataFrame:
     """Rows (kind, slot, n): counts of adjacent pairs and of characters over all texts, in a table of bounded size.
 
-    Slots are hashes, so there are at most 2**20 and 2**16 whatever the corpus holds. Each task counts its texts
-    before anything is shuffled. Line ends count as the neighbours of a text's first and last character.
+    Slots are hashes, so there are at most 2**20 and 2**16 whatever the corpus holds. Equal texts count once, or a
+    garbled text with many copies would make its own damage probable; they are reduced within each task before they
+    are shuffled. Line ends count as the neighbours of a text's first and last character.
     """
+    known = documents.where(F.col(text).isNotNull()).select(F.col(text).alias("t"), F.xxhash64(text).alias("h"), F.octet_length(text).alias("n"))
+    once = known.dropDuplicates(["h", "n"]).select("t")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pairs, chars = np.zeros(1 << PAIR_BITS, np.int64), np.zeros(1 << CHAR_BITS, np.int64)
         for b in batches:
-            joined = _codes("\n".join(["", *(t for t in b[text] if t), ""]))
+            joined = _codes("\n".join(["", *(t for t in b.t if t), ""]))
             for s in range(0, len(joined), 1 << 22):
                 part = joined[s : s + (1 << 22) + 1]
                 chars += np.bincount(_char_slot(part[:-1]), minlength=1 << CHAR_BITS)
@@ -68,7 +72,7 @@ def pair_counts(documents: DataFrame, text: str = "text") -> DataFrame:
             at = np.flatnonzero(n)
             yield pd.DataFrame({"kind": np.full(len(at), kind, "int32"), "slot": at.astype("int32"), "n": n[at]})
 
-    parts = documents.select(text).where(F.col(text).isNotNull()).mapInPandas(count, "kind int, slot int, n bigint")
+    parts = once.mapInPandas(count, "kind int, slot int, n bigint")
     return parts.groupBy("kind", "slot").agg(F.sum("n").alias("n"))
 
 
@@ -80,7 +84,9 @@ class PairModel:
         pairs[slot[kind == 0]] = n[kind == 0]
         chars[slot[kind == 1]] = n[kind == 1]
         self.total = max(float(pairs.sum()), 1.0)
+        self.attested = float(np.log2(2.5 / self.total))  # log probability of a pair that was met three times
         self.log_pairs = np.log2((pairs + 0.02) / self.total).astype("float32")
+        self.of_pair: dict[str, float] = {}
         self.log_chars = np.log2((chars + 0.5) / self.total).astype("float32")
 
     def log_probability(self, codes: np.ndarray) -> np.ndarray:
@@ -91,12 +97,25 @@ class PairModel:
         lp = self.log_pairs[_pair_slot(a, b)]
         mutual = lp - self.log_chars[_char_slot(a)] - self.log_chars[_char_slot(b)]
         information = np.exp2(lp) * np.maximum(np.abs(mutual), 1.0)
-        return np.clip(np.log2(config.improbable / np.maximum(information, 1e-12)), -config.clip, config.clip)
+        rare = np.where((a > 127) | (b > 127), config.improbable_odd, config.improbable)
+        rare = np.maximum(rare, 3 * np.log2(self.total + 1) / self.total)  # in a small corpus, what was met three times at most
+        return np.clip(np.log2(rare / np.maximum(information, 1e-12)), -config.clip, config.clip)
 
     def bits(self, text: str) -> tuple[float, float]:
         """Sum and mean of the log probability of the adjacent pairs of text."""
-        lp = self.log_probability(_codes(text))
-        return (float(lp.sum()), float(lp.mean())) if len(lp) else (0.0, 0.0)
+        if len(text) < 2:
+            return 0.0, 0.0
+        if len(text) > 100:
+            lp = self.log_probability(_codes(text))
+            return float(lp.sum()), float(lp.mean())
+        total = 0.0
+        for i in range(len(text) - 1):  # short pieces, of few different pairs: cheaper than arrays
+            pair = text[i : i + 2]
+            lp = self.of_pair.get(pair)
+            if lp is None:
+                lp = self.of_pair[pair] = float(self.log_probability(_codes(pair))[0])
+            total += lp
+        return total, total / (len(text) - 1)
 
 
 def max_scoring_segments(scores: np.ndarray) -> list[tuple[int, int]]:
@@ -234,27 +253,48 @@ class Repairer:
 
         return mapping.pattern.sub(piece, run)
 
+    def _readings(self, run: str) -> Iterator[tuple[_Utf8 | _Table, bool, str]]:
+        """(mapping, by utf-8, what it makes of the run) of every mapping that can read any of it."""
+        for mapping in self.utf8:
+            if mapping.pattern.search(run):
+                whole = self._restore(mapping, run, None)
+                if whole != run:  # by likely pieces; whole, though a piece may be no likelier; twice, though the step between may not
+                    yield from ((mapping, True, new) for new in (self._restore(mapping, run, 0.0), whole, self._restore(mapping, whole, None)))
+        for mapping in self.tables:
+            if mapping.pattern.search(run):
+                yield mapping, False, self._restore(mapping, run, self.config.gain_table)
+
     def _best(self, run: str) -> tuple[str, str, float, bool] | None:
         """(restored, mapping, bits gained, by utf-8) of a run given with one character of context on both sides."""
         old_sum, old_mean = self.model.bits(run)
         best, most = None, 0.0
-        for mapping, by_utf8, times in ((m, m in self.utf8, t) for m in (*self.utf8, *self.tables) for t in (1, 2)):
-            if times == 1:
-                new = self._restore(mapping, run, 0.0 if by_utf8 else self.config.gain_table)
-            elif by_utf8:  # garbled twice: the step between may be no likelier than the run
-                new = self._restore(mapping, self._restore(mapping, run, None), None)
-            else:
-                continue
+        for mapping, by_utf8, new in self._readings(run):
             if new == run or any(0x80 <= ord(c) < 0xA0 for c in new if c not in run):
                 continue
             new_sum, new_mean = self.model.bits(new)
             weight = new_sum - old_sum
-            if by_utf8 and (weight < self.config.gain_utf8 or new_mean < old_mean):
+            if by_utf8 and (weight < self.config.gain_utf8 or (new_mean < old_mean and not self._attested(new))):
                 continue
             if weight > most:
                 best, most = (new, mapping.name, weight, by_utf8), weight
         return best
 
+    def _attested(self, text: str) -> bool:
+        """Whether nearly all pairs with a character outside ASCII are known from the corpus."""
+        codes = _codes(text)
+        odd = (codes[1:] > 127) | (codes[:-1] > 127)
+        return bool(odd.any()) and float((self.model.log_probability(codes)[odd] >= self.model.attested).mean()) >= 0.9
+
+    def _remembered(self, run: str) -> tuple[str, str, float, bool] | None:
+        """_best, kept for the short runs that come again and again."""
+        if len(run) > 200:
+            return self._best(run)
+        if run not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            self.known[run] = self._best(run)
+        return self.known[run]
+
     def _runs(self, text: str) -> list[tuple[int, int]]:
         """Improbable runs [begin, end) of characters that hold one outside ASCII, wholly.
 
@@ -270,15 +310,19 @@ class Repairer:
         near = np.flatnonzero(counts[np.minimum(i + 2 + reach, len(codes))] > counts[np.maximum(i - reach, 0)])
         scores = self.model.improbability(codes[near], codes[near + 1], self.config)
         scores[1:][np.diff(near) > 1] = -1e3  # no segment reaches over what lies between
+        # of each character outside ASCII, where the stretch of such characters begins and ends
+        at = np.arange(len(codes))
+        begin = np.maximum.accumulate(np.where(odd, -1, at)) + 1
+        end = np.minimum.accumulate(np.where(odd, len(codes), at)[::-1])[::-1]
         runs: list[tuple[int, int]] = []
         for first, last in max_scoring_segments(scores):  # pairs first..last-1
             b, e = int(near[first]), int(near[last - 1]) + 2
             if counts[e] == counts[b]:
                 continue
-            while odd[b - 1] and odd[b]:
-                b -= 1
-            while e < len(codes) and odd[e] and odd[e - 1]:
-                e += 1
+            if odd[b] and odd[b - 1]:
+                b = int(begin[b])
+            if e < len(codes) and odd[e] and odd[e - 1]:
+                e = int(end[e])
             b, e = max(b, 1), min(e, len(codes) - 1)
             if runs and b <= runs[-1][1]:
                 runs[-1] = (runs[-1][0], max(e, runs[-1][1]))
@@ -298,12 +342,8 @@ class Repairer:
             found, runs = [], []
             for b, e in self._runs(text):
                 context = (text[b - 1] if b else "\n") + text[b:e] + (text[e] if e < len(text) else "\n")
-                if context not in self.known:
-                    if len(self.known) > 200_000:
-                        self.known.clear()
-                    self.known[context] = self._best(context)
                 if not self._only_quoted(text, b, e, spans):
-                    runs.append((b, e, context, self.known[context]))
+                    runs.append((b, e, context, self._remembered(context)))
             # a single-byte table is trusted only if the text as a whole gains enough by it, and then for weaker runs too
             gained: dict[str, float] = {}
             for _, _, _, held in runs:

@@ -37,7 +37,7 @@ LESSON = 'Lesson on codecs: the string `CrÃ¨me brÃ»lÃ©e` is meant.\nbad =
 
 @pytest.fixture(scope="module")
 def found(spark):
-    rows = [(i, t) for i, t in enumerate(CLEAN * 30)] if False else [(1000 + i, t) for i, t in enumerate(CLEAN * 30)]
+    rows = [(1000 + i, f"{t} ({i})") for i, t in enumerate(CLEAN * 30)]  # equal texts would count once
     rows += [(i, b) for i, (b, _) in BROKEN.items()] + [(1, None), (2, ""), (3, "plain ascii"), (4, LESSON), (5, "word " * 200_000 + "don’t stop"), (111, BROKEN[111][0])]
     df = spark.createDataFrame([(i, t, True, "c") for i, t in rows], "doc_id bigint, text string, damaged boolean, restored_text string")
     return [tuple(r) for r in repair_documents(df).collect()]
@@ -82,3 +82,21 @@ def test_quotes_need_a_lesson_and_inline_code():
     assert quoted_spans('to decode "CrÃ¨me"') == []
     text = 'decode `CrÃ¨me`: x = "CrÃ¨me"'
     assert [text[a:b] for a, b in quoted_spans(text)] == ["CrÃ¨me", "CrÃ¨me"]
+
+
+def test_very_long_texts_outside_ascii_take_linear_time(spark):
+    import time
+
+    russian, japanese = CLEAN[2].replace(" ", "") * 3000, CLEAN[4] * 5000
+    rows = [(1, russian + japanese), (2, (CLEAN[2] * 500).encode().decode("latin-1")), (3, CLEAN[2] * 3000)] + [(10 + i, f"{t} ({i})") for i, t in enumerate(CLEAN * 30)]
+    began = time.time()
+    got = {r.doc_id: r.restored_text for r in repair_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert time.time() - began < 120
+    assert set(got) == {2} and got[2] == CLEAN[2] * 500
+
+
+def test_a_damaged_text_with_many_copies_is_still_found(spark):
+    bad = (CLEAN[1].encode().decode("latin-1"), sloppy(CLEAN[2].encode("cp1251")))
+    rows = [(i, f"{t} ({i})") for i, t in enumerate(CLEAN * 20)] + [(1000 + i, b) for i, b in enumerate(bad * 150)]
+    got = [r.doc_id for r in repair_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sorted(got) == list(range(1000, 1300))
