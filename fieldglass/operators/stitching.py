@@ -64,7 +64,7 @@ def candidate_links(spans: DataFrame, rates: DataFrame, config: StitchConfig = S
     return pairs.where(straight <= config.max_speed * F.col("gap_seconds")).select(key, "pred", "succ", "distance", "gap_seconds")
 
 
-def best_first_matching(links: DataFrame, key: str = "job_id", max_rounds: int = 200) -> DataFrame:
+def best_first_matching(links: DataFrame, key: str = "job_id", max_rounds: int = 10_000) -> DataFrame:
     """One-to-one links taken in order of (distance, pred, succ), each end used once: rows (key, pred, succ, distance).
 
     In a round every link that is the best of both its ends is taken and all links at these ends are dropped. With a
