@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fieldglass.functions import geometry as g
+from fieldglass.session import spread
 
 KEY = ("match_no", "frame_index")
 
@@ -54,7 +55,8 @@ def with_possession(scenes: DataFrame, *, hysteresis: float = 1.5, max_distance:
     """
     home, away = _least_distance("home"), _least_distance("away")
     inf = F.lit(float("inf"))
-    held = scenes.withColumns({"_h": F.coalesce(home, inf), "_a": F.coalesce(away, inf)})
+    # the window wants matches whole; what follows it computes much on few bytes
+    held = spread(scenes.withColumns({"_h": F.coalesce(home, inf), "_a": F.coalesce(away, inf)}), match)
     first_listed = F.get(F.transform(F.filter("players", lambda p: p["team"].isin("home", "away") & p["x"].isNotNull()), lambda p: p["team"]), F.lit(0))
     near = F.when(F.col("_h") < F.col("_a"), "home").when(F.col("_a") < F.col("_h"), "away").otherwise(first_listed)
     by, other = F.least("_h", "_a"), F.greatest("_h", "_a")
@@ -114,7 +116,11 @@ def supporting_players(scenes: DataFrame, keep: Sequence[str] = ()) -> DataFrame
     ball = (F.col("ball_x"), F.col("ball_y"))
     rows = scenes.withColumn("a", F.explode("attackers")).where(~F.col("a.track_id").eqNullSafe(F.col("carrier_id")))
     x, y = F.col("a.x"), F.col("a.y")
-    lanes = F.transform("defenders", lambda d: g.segment_distance(d["x"], d["y"], *ball, x, y))
+    # the point of the lane nearest to each defender, then the distance from it; what is not the defender's own is worked out once
+    rows = rows.withColumns({"_dx": x - ball[0], "_dy": y - ball[1]}).withColumn("_long", F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
+    share = lambda d: g.clamp(((d["x"] - ball[0]) * F.col("_dx") + (d["y"] - ball[1]) * F.col("_dy")) / F.col("_long"), 0, 1)
+    feet = F.transform("defenders", lambda d: F.struct(d["x"].alias("x"), d["y"].alias("y"), F.when(F.col("_long") > 1e-18, share(d)).otherwise(0.0).alias("t")))
+    lanes = F.transform(feet, lambda p: g.distance(p["x"], p["y"], ball[0] + F.col("_dx") * p["t"], ball[1] + F.col("_dy") * p["t"]))
     near = F.array_min(F.transform("defenders", lambda d: g.distance(d["x"], d["y"], x, y)))
     rows = rows.withColumns({"_lanes": lanes, "nearest_opponent": near})
     rows = rows.withColumns({
