@@ -180,3 +180,14 @@ def test_kits_and_goalkeepers(spark):
     places = [("m", 1, "home", 3.0), ("m", 1, "home", 5.0), ("m", 2, "away", 100.0), ("m", 3, "home", 2.0), ("m", 3, "home", 60.0), ("solo", 1, "home", 1.0), ("m", 4, "home", None)]
     got = goalkeepers(spark.createDataFrame(places, "match_no string, track_id int, team string, x double"))
     assert sorted((r.track_id, r.team) for r in got.collect()) == [(1, "home"), (2, "away")]
+
+
+def test_nearest_kit(spark):
+    from pyspark.sql import functions as F
+
+    from fieldglass.operators.teams import nearest_kit
+
+    rows = [(10.0, 10.0, 10.0), (190.0, 190.0, 190.0), (100.0, 100.0, 100.0)]
+    df = spark.createDataFrame([(*r, 0.0, 0.0, 0.0, 200.0, 200.0, 200.0) for r in rows], "r double, g double, b double, home_r double, home_g double, home_b double, away_r double, away_g double, away_b double")
+    got = [r[0] for r in df.orderBy("r").select(nearest_kit(F.col("r"), F.col("g"), F.col("b"))).collect()]
+    assert got == ["home", "home", "away"]
