@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from fieldglass.functions import geometry as g
+from fieldglass.session import spread
 
 
 def strongest_lines(lines: DataFrame, keys: list[str], n: int) -> DataFrame:
@@ -95,17 +98,18 @@ def fit_conic(x: np.ndarray, y: np.ndarray) -> np.ndarray | None:
 
 
 def fitted_conics(points: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, conic array of six) of the groups whose points fix a conic."""
+    """Rows (keys, conic array of six) of the groups whose points fix a conic. A group's points are one row's arrays."""
     fields = T.StructType([points.schema[k] for k in keys] + [T.StructField("conic", T.ArrayType(T.DoubleType()))])
+    placed = points.select(*keys, "x", "y").where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    lists = spread(placed, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("_p")).select(*keys, F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        clean = pdf.dropna(subset=["x", "y"])
-        conic = fit_conic(clean.x.to_numpy(float), clean.y.to_numpy(float))
-        if conic is None:
-            return pd.DataFrame(columns=fields.names)
-        return pd.DataFrame([(*[pdf[k].iloc[0] for k in keys], conic)], columns=fields.names)
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            conics = [fit_conic(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(b.x, b.y)]
+            found = b[list(keys)].assign(conic=pd.Series(conics, index=b.index, dtype=object))
+            yield found[[c is not None for c in conics]]
 
-    return points.select(*keys, "x", "y").groupBy(*keys).applyInPandas(fit, fields)
+    return lists.mapInPandas(fit, fields)
 
 
 def conic_inliers(points: Column, conic: Column, within: float) -> Column:

@@ -85,7 +85,7 @@ def goalkeepers(spark: SparkSession, base: str) -> DataFrame:
     """Tracks whose mean place is at either end of the pitch, per job, with the side that their span names."""
     sides = table(spark, base, "track_span").groupBy("job_id", "track_id").agg(F.min("team").alias("team"))
     places = table(spark, base, "player_frame_score").where(F.col("pitch_x").between(0, 105)).select("job_id", "track_id", F.col("pitch_x").alias("x"))
-    return rounded(tm.goalkeepers(places.join(sides, ["job_id", "track_id"]), match="job_id", share=0.2), "mean_x")
+    return tm.goalkeepers(places.join(sides, ["job_id", "track_id"]), match="job_id", share=0.2).withColumn("mean_x", F.round("mean_x", 10))
 
 
 _BOX = ("x1", "y1", "x2", "y2")
@@ -288,7 +288,7 @@ SELECT match_no, frame_index, track_id, CASE WHEN count(vote) OVER w < 5 THEN 'u
 FROM votes WINDOW w AS (PARTITION BY match_no, track_id ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "goalkeepers": f"""WITH sides AS (SELECT job_id, track_id, min(team) AS team FROM track_span GROUP BY ALL), m AS (SELECT p.job_id, p.track_id, s.team, avg(pitch_x) AS mean_x FROM player_frame_score p JOIN sides s ON p.job_id = s.job_id AND p.track_id = s.track_id WHERE pitch_x BETWEEN 0 AND 105 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY mean_x, track_id) AS lo, row_number() OVER (PARTITION BY job_id ORDER BY mean_x DESC, track_id DESC) AS hi, count(*) OVER (PARTITION BY job_id) AS n FROM m)
-SELECT job_id, track_id, team, round(mean_x, 6) AS mean_x FROM r WHERE n >= 2 AND ((lo = 1 AND mean_x < 105 * {_D(0.2)}) OR (hi = 1 AND mean_x > 105 * {_D(0.8)}))""",
+SELECT job_id, track_id, team, round(mean_x, 10) AS mean_x FROM r WHERE n >= 2 AND ((lo = 1 AND mean_x < 105 * {_D(0.2)}) OR (hi = 1 AND mean_x > 105 * {_D(0.8)}))""",
     "box_overlaps": _BOXES + """, pairs AS (SELECT *, lag(x1) OVER w AS a1, lag(y1) OVER w AS b1, lag(x2) OVER w AS a2, lag(y2) OVER w AS b2 FROM boxes WINDOW w AS (PARTITION BY match_no, ord ORDER BY frame_index)),
 i AS (SELECT *, greatest(least(x2, a2) - greatest(x1, a1), 0) * greatest(least(y2, b2) - greatest(y1, b1), 0) AS inter FROM pairs)
 SELECT match_no, frame_index, ord, round(CASE WHEN a1 IS NULL THEN 0 ELSE inter / ((x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - inter) END, 6) AS iou, round((x2 - x1) * (y2 - y1), 6) AS area, round((x1 + x2) / 2, 6) AS foot_x, round(y2, 6) AS foot_y FROM i""",
