@@ -33,6 +33,8 @@ class SpikeModel:
     spike_scale: float = 30.0  # metres, of the wide spike emission
     block: int = 8192  # readings a block decides about
     context: int = 256  # readings of the neighbouring blocks it also sees
+    most_sweeps: int = 200  # of the exact rule over all candidates; what still changes is searched
+    most_between: int = 400  # readings that a searched choice may pass over at once
     transitions: tuple[tuple[float, ...], ...] = (
         (0.980, 0.010, 0.005, 0.005),
         (0.550, 0.430, 0.010, 0.010),
@@ -99,12 +101,53 @@ def _posteriors(emission: np.ndarray, begin: np.ndarray, length: np.ndarray, tra
     return gamma
 
 
+def _consistent(t, x, y, limit, most_between: int) -> np.ndarray | None:
+    """Which readings of a stretch are no cases, so that the rule holds for every one; None if that cannot be.
+
+    The first and last are no cases whatever the others are. Such a choice is a path from the first to the last: all
+    readings passed over are off the course between the path's two around them, and none on the path is off the course
+    between its own two. Of several the one with the fewest cases counts, then the one whose last differing case comes first.
+    """
+
+    def off(k, i, j):
+        w = (t[k] - t[i]) / (t[j] - t[i])
+        return np.hypot(x[k] - (x[i] + w * (x[j] - x[i])), y[k] - (y[i] + w * (y[j] - y[i]))) > limit[k]
+
+    n = len(t)
+    steps: list[list[tuple[int, int, int]]] = [[] for _ in range(n)]  # at j: (i, cases so far, place of the step before in steps[i])
+    for i in range(n - 1):
+        if i and not steps[i]:
+            continue
+        h, cases = np.array([(s[0], s[1]) for s in steps[i]], int).reshape(-1, 2).T
+        for j in range(i + 1, min(n, i + 2 + most_between)):
+            if not off(np.arange(i + 1, j), i, j).all():
+                continue
+            if not i:
+                steps[j].append((0, j - 1, -1))
+                continue
+            fits = np.flatnonzero(~off(i, h, j))
+            if len(fits):
+                best = int(fits[np.argmin(cases[fits])])
+                steps[j].append((i, int(cases[best]) + j - i - 1, best))
+    if not steps[-1]:
+        return None
+    good = np.zeros(n, bool)
+    at, place = n - 1, min(range(len(steps[-1])), key=lambda s: steps[-1][s][1])
+    while place >= 0:
+        good[at] = True
+        at, _, place = steps[at][place]
+    good[at] = True
+    return good
+
+
 def flag_sequences(t, x, y, has_y, median_step, group, model: SpikeModel = SpikeModel()) -> tuple[np.ndarray, np.ndarray]:
-    """Posteriors (n, 4) and a flag per reading (0 none, 1 spike, 2 stuck, 3 out of range).
+    """Posteriors (n, 4) and a flag per reading (0 none, 1 spike, 2 stuck, 3 out of range, 4 open).
 
     The readings of one group are contiguous and in order of t. Two rounds of forward-backward, the second judging the
     course without the readings that the first took for spikes; then the exact rule on every candidate, against the
-    nearest readings that are no cases, until nothing changes.
+    nearest readings that are no cases, until nothing changes. Where that never ends (at a lasting jump two readings can
+    each be a case only if the other is none) a choice that meets the rule is searched for; where there is none, the
+    readings that contradict the rule are open.
     """
     n = len(t)
     first = np.ones(n, bool)
@@ -134,7 +177,8 @@ def flag_sequences(t, x, y, has_y, median_step, group, model: SpikeModel = Spike
     limit = np.maximum(model.min_offset, model.step_factor * np.nan_to_num(median_step))
     rows = np.arange(n)
     c = np.flatnonzero(candidate)
-    for _ in range(20):
+
+    def swept(case: np.ndarray) -> np.ndarray:
         prev = np.maximum.accumulate(np.where(~case, rows, -1))
         after = np.minimum.accumulate(np.where(~case, rows, n)[::-1])[::-1]
         left = np.where(c > 0, prev[c - 1], -1)
@@ -146,15 +190,35 @@ def flag_sequences(t, x, y, has_y, median_step, group, model: SpikeModel = Spike
         off = np.hypot(x[c] - (x[left] + w * (x[right] - x[left])), y[c] - (y[left] + w * (y[right] - y[left])))
         now = hard.copy()
         now[c] = sided & (off > limit[c])
-        if (now == case).all():
+        return now
+
+    before, now = case, swept(case)
+    for _ in range(model.most_sweeps):
+        after = swept(now)
+        if (after == now).all() or (after == before).all():
             break
-        case = now
+        before, now = now, after
+    case = now
+    moving = np.flatnonzero(swept(case) != case)
+    if len(moving):
+        soft = np.flatnonzero(~hard)
+        edge = ~candidate[soft]  # their state depends on no other reading; so does that of a group's outermost ones
+        edge[1:] |= group[soft[1:]] != group[soft[:-1]]
+        edge[:-1] |= group[soft[1:]] != group[soft[:-1]]
+        edge[[0, -1]] = True
+        edges = np.flatnonzero(edge)
+        for e in np.unique(np.searchsorted(edges, np.searchsorted(soft, moving))):
+            own = soft[edges[e - 1] : edges[e] + 1]
+            good = _consistent(t[own], x[own], y[own], limit[own], model.most_between)
+            if good is not None:
+                case[own] = ~good
     flag = np.where(outside, 3, np.where(stuck, 2, np.where(case, 1, 0)))
+    flag[swept(case) != case] = 4
     return gamma, flag
 
 
 _SOURCE = ["table_name", "job_id", "track_id", "side"]
-_FLAGS = np.array([None, "spike", "stuck", "out_of_range"], dtype=object)
+_FLAGS = np.array([None, "spike", "stuck", "out_of_range", "open"], dtype=object)
 
 
 def implausible_readings(readings: DataFrame, model: SpikeModel = SpikeModel()) -> DataFrame:

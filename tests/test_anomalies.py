@@ -64,6 +64,25 @@ def test_slow_and_fast_sources_differ():
     assert flag.nonzero()[0].tolist() == [30]
 
 
+def meets_the_rule(x, flag, limit=4.0):
+    calm = np.flatnonzero(flag == 0)
+    for i in range(len(x)):
+        a, b = calm[calm < i], calm[calm > i]
+        off = len(a) and len(b) and abs(x[i] - x[a[-1]] - (i - a[-1]) / (b[0] - a[-1]) * (x[b[0]] - x[a[-1]])) > limit
+        if bool(off) != (flag[i] == 1):
+            return False
+    return True
+
+
+def test_lasting_jumps_end_in_flags_that_meet_the_rule():
+    for jump in (6.0, 8.5, 10.0, 11.9, 12.5, 15.0, 21.0, 30.0):
+        x = 20 + 0.1 * np.arange(60) + np.where(np.arange(60) >= 30, jump, 0.0)
+        _, flag = flag_sequences(np.arange(60.0), x, np.full(60, 30.0) + 0.01 * np.arange(60), np.ones(60, bool), np.full(60, 0.1), np.zeros(60))
+        assert set(flag.tolist()) <= {0, 1} and meets_the_rule(x, flag), jump
+        if 8.5 <= jump < 12:
+            assert flag.sum() == 1 and flag[29:31].any()
+
+
 def test_query_is_consistent_with_the_rule_on_every_reading(spark, sf):
     """Brute force over all readings: a reading is flagged iff the rule, given the other flags, says so."""
     import duckdb
