@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from fieldglass.session import materialise
 
@@ -214,8 +215,9 @@ def wrong_medians(summary: DataFrame, scores: DataFrame, *, stored: str = "media
     """Distinct (job_id, track_id) whose stored median differs by more than tolerance from that of the readings.
 
     Summaries decide wherever the stored value is within tolerance of neither or of both ends of the median's bounds.
-    Where the bounds leave it open, the median is taken exactly from the readings between the bounds and the number
-    below them, at most about 2 * error of the group's readings. Null or NaN stored medians and groups without
+    Where the bounds leave it open, the median is taken exactly from counts of equal readings between the bounds and the
+    number below them: at most about 2 * error of the group's readings, and the bounds themselves as one row each
+    however often they occur. Null or NaN stored medians and groups without
     readings are no cases; of a repeated summary row any that differs counts. Null ids match nothing.
     """
     keys = ["job_id", "track_id"]
@@ -232,9 +234,13 @@ def wrong_medians(summary: DataFrame, scores: DataFrame, *, stored: str = "media
     sure = judged.where(~F.col("_open") & F.col("_off")).select(*keys)
     open_groups = judged.where("_open").groupBy(*keys).agg(F.min("low").alias("low"), F.max("high").alias("high"))
     near = readings.join(open_groups, keys).where(F.col(value) <= F.col("high"))
-    inside = F.when(F.col(value) >= F.col("low"), F.col(value))
-    exact = near.groupBy(*keys).agg(F.count(F.when(F.col(value) < F.col("low"), 1)).alias("_below"), F.sort_array(F.collect_list(inside)).alias("_in"))
-    at = lambda rank: F.get("_in", (F.floor(rank) - F.col("_below")).cast("int"))
+    # rows of equal readings, those below the bounds as one null value
+    inside = F.when(F.col(value) >= F.col("low"), F.col(value)).alias("_value")
+    equal = near.groupBy(*keys, inside).agg(F.count(F.lit(1)).alias("_equal"))
+    ranked = equal.withColumn("_upto", F.sum("_equal").over(Window.partitionBy(*keys).orderBy(F.col("_value").asc_nulls_first())))
+    sized = ranked.join(judged.where("_open").groupBy(*keys).agg(F.min("n").alias("n")), keys)
+    at = lambda rank: F.min(F.when(F.col("_upto") > F.floor(rank), F.col("_value")))
+    exact = sized.groupBy(*keys).agg(((at((F.col("n") - 1) / 2) + at(F.col("n") / 2)) / 2).alias("_middle"))
     exact = exact.join(judged.where("_open"), keys)
-    middle = (at((F.col("n") - 1) / 2) + at(F.col("n") / 2)) / 2
+    middle = F.col("_middle")
     return sure.union(exact.where(off(middle)).select(*keys)).distinct()

@@ -69,3 +69,21 @@ def test_wrong_medians_decides_exactly_where_summaries_cannot(spark):
     for error in (0.02, 0.001):
         assert {tuple(r) for r in wrong_medians(summary, scores, error=error).collect()} == want
     assert wrong_medians(summary, scores.limit(0)).collect() == [] and wrong_medians(summary.limit(0), scores).collect() == []
+
+
+def test_equal_readings_at_the_bounds_are_counted_not_gathered(spark):
+    rng = np.random.default_rng(7)
+    reads, claims, want = [], [], set()
+    for track in range(6):
+        v = np.sort(np.concatenate([np.full(700, 100.0), rng.uniform(100, 110, 300 + 2 * track), np.full(380, 110.0), rng.uniform(20, 99, 200 + 101 * track)]))
+        m = float(np.median(v))
+        stored = m * (1.0499, 1.0501)[track % 2]
+        reads += [("j", track, i, float(x)) for i, x in enumerate(rng.permutation(v))]
+        claims.append(("j", track, stored))
+        if track % 2:
+            want.add(("j", track))
+    scores = spark.createDataFrame(reads, "job_id string, track_id int, frame_index int, space_owned double").repartition(4)
+    summary = spark.createDataFrame(claims, "job_id string, track_id int, median_space_owned double")
+    found = wrong_medians(summary, scores, error=0.2)
+    assert {tuple(r) for r in found.collect()} == want
+    assert "collect_list" not in found._jdf.queryExecution().toString()
