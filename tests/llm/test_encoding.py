@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from fieldglass.llm.encoding import max_scoring_segments, quoted_spans, repair_documents
+from fieldglass.llm.encoding import PairModel, Repairer, max_scoring_segments, pair_counts, repair_documents
+from tests.llm.sentences import MISREADINGS, garbled, sentences
 
 CLEAN = [
     "Das Café liegt an der Straße, die Größe ändert sich über die Jahre – schön!",
@@ -77,11 +78,44 @@ def test_max_scoring_segments():
         assert max_scoring_segments(s) == brute_segments(s)
 
 
-def test_quotes_need_a_lesson_and_inline_code():
-    assert quoted_spans("just `CrÃ¨me` here") == []
-    assert quoted_spans('to decode "CrÃ¨me"') == []
-    text = 'decode `CrÃ¨me`: x = "CrÃ¨me"'
-    assert [text[a:b] for a, b in quoted_spans(text)] == ["CrÃ¨me", "CrÃ¨me"]
+@pytest.fixture(scope="module")
+def repairer(spark):
+    """Under a model of 1,000 documents, which hold none of the made-up sentences."""
+    counts = pair_counts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas()
+    return Repairer(PairModel(counts.kind.to_numpy(), counts.slot.to_numpy(), counts.n.to_numpy()))
+
+
+def test_quotes_need_inline_code_and_the_right_form(repairer):
+    spans = lambda t: [t[a:b] for a, b in repairer.quoted_spans(t)]
+    assert spans("just `CrÃ¨me` here") == [] and spans('to decode "CrÃ¨me" as Crème') == [] and spans("`Crème` and Crème") == []
+    assert spans('decode `CrÃ¨me`: x = "CrÃ¨me" gives Crème') == ["CrÃ¨me", "CrÃ¨me"]
+    assert spans("`Cr\ufffdme` was Crème") == ["Cr\ufffdme"] and spans("`Cr\ufffdme` was it") == []
+
+
+def test_clean_sentences_are_left_alone(repairer):
+    assert [s for _, s in sentences() if repairer.repair(s)[0]] == []
+
+
+def test_sentences_are_restored_character_for_character(repairer):
+    """576 sentences in nine languages, misread in twelve ways, once to three times."""
+    tried = right = found = wrong = 0
+    for i, (_, clean) in enumerate(sentences()):
+        for j, encoding in enumerate(MISREADINGS):
+            damaged, text, _, restorable = repairer.repair(garbled(clean, encoding, 1 + (i + j) % 3))
+            tried, found, right = tried + 1, found + damaged, right + (text == clean)
+            wrong += restorable and text != clean
+    print(tried, found, right, wrong)
+    assert found == tried and right >= 0.97 * tried and wrong <= 0.02 * tried
+
+
+def test_restored_in_places_with_several_depths_and_cut_sequences(repairer):
+    clean = "Das Café liegt an der Straße, die Größe ändert sich über die Jahre."
+    text = "\n".join([clean, garbled("Die Tür öffnet früh, die Gäste hören Vögel.", "cp1252"), "x = 1", garbled("L’été déjà passé à l’école, répète le garçon.", "cp1252", 2)])
+    damaged, got, _, restorable = repairer.repair(text)
+    assert damaged and restorable and got == "\n".join([clean, "Die Tür öffnet früh, die Gäste hören Vögel.", "x = 1", "L’été déjà passé à l’école, répète le garçon."])
+    cut = garbled("Die Tür öffnet früh, „hört“ man.", "cp1252").replace("â€œ", "â€")
+    damaged, got, _, restorable = repairer.repair(cut)
+    assert damaged and not restorable and "Tür öffnet früh" in got
 
 
 def test_very_long_texts_outside_ascii_take_linear_time(spark):
