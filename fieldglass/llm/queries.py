@@ -49,8 +49,11 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p6_fill(spark: SparkSession, base: str) -> DataFrame:
+    """Per capacity: tokens and documents placed, documents cut, whether no container is over its capacity and whether few are needed."""
     targets = table(spark, base, "pack_target")
-    return fill_report(pack_documents(table(spark, base, "documents"), targets), targets)
+    report = fill_report(pack_documents(table(spark, base, "documents"), targets), targets)
+    few = F.col("n_containers") <= F.ceil(F.col("tokens") / F.col("capacity_tokens") / 0.97) + 2
+    return report.select("capacity_name", "capacity_tokens", "tokens", "documents", "documents_cut", (F.col("fullest") <= F.col("capacity_tokens")).alias("kept"), few.alias("few_containers"))
 
 
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
@@ -108,5 +111,7 @@ ON s.job_id = r.job_id AND s.track_id = r.track_id WHERE NOT isnan(s.median_spac
     "p4_track_percentiles": f"""SELECT job_id, track_id, q AS percentile, n, round(e, 6) AS estimate FROM (
   SELECT job_id, track_id, count(*) AS n, unnest([CAST(0.25 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.75 AS DOUBLE)]) AS q, unnest(quantile_cont(v, [0.25, 0.5, 0.75])) AS e FROM ({_ONCE}) GROUP BY job_id, track_id)""",
     "p6_found": "SELECT capacity_name, doc_id FROM pack_target JOIN documents ON strlen(text) > capacity_tokens",
+    "p6_fill": """SELECT capacity_name, capacity_tokens, tokens, documents, documents_cut, true AS kept, true AS few_containers FROM (
+  SELECT capacity_name, capacity_tokens, CAST(sum(coalesce(strlen(text), 0)) AS BIGINT) AS tokens, count(*) AS documents, CAST(count(*) FILTER (strlen(text) > capacity_tokens) AS BIGINT) AS documents_cut FROM pack_target CROSS JOIN documents GROUP BY ALL)""",
     "p7_found": _SIZES + " SELECT source FROM sizes WHERE max_repeats * size < target_share * (SELECT sum(size) FROM sizes)",
 }
