@@ -3,6 +3,9 @@
 A summary of n values is a sorted list of tuples (value, rmin, rmax): the value's rank among the n lies between rmin and
 rmax. Merging two summaries adds rank intervals and loses nothing; compressing drops tuples as long as the uncertainty
 between neighbours stays within what is permitted, and that uncertainty is carried along with the summary.
+
+What is permitted grows from level to level of merging, up to the error asked for: a summary that has used up all it may
+could not be compressed after the next merge.
 """
 
 from __future__ import annotations
@@ -103,86 +106,141 @@ def _schema(df: DataFrame, names: Sequence[str], *more: T.StructField) -> T.Stru
     return T.StructType([df.schema[c] for c in names] + list(more))
 
 
-def partial_summaries(df: DataFrame, keys: Sequence[str], value: str, *, error: float, buffer: int = 65_536) -> DataFrame:
-    """Summaries of each partition: rows (keys, part, n, v, rmin, rmax); a group gets another row after buffer values.
+FAN_IN = 64  # summaries that are merged at a time
+_IN_TASK = (0.25, 0.375, 0.5)  # shares of the error that the levels within one task may use, from the buffer upwards
+
+
+def merged(several: list[Summary], permitted: float) -> Summary:
+    """One summary of all; in pairs, the smallest first, so that none is passed over once per other."""
+    todo = sorted(several, key=lambda s: len(s[0]))
+    while len(todo) > 1:
+        todo = [merge(todo[i], todo[i + 1]) if i + 1 < len(todo) else todo[i] for i in range(0, len(todo), 2)]
+    return compress(todo[0], permitted * int(todo[0][2][-1]))
+
+
+class _Stack:
+    """Running summary of a group: at most fan_in summaries of every level are held, and merged into one of the next."""
+
+    def __init__(self, error: float, shares: Sequence[float], fan_in: int):
+        self.error, self.shares, self.fan_in = error, shares, fan_in
+        self.levels: list[list[Summary]] = [[]]
+
+    def add(self, s: Summary, level: int = 0) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(s)
+        if len(self.levels[level]) == self.fan_in:
+            full, self.levels[level] = self.levels[level], []
+            self.add(merged(full, self.error * self.shares[min(level + 1, len(self.shares) - 1)]), level + 1)
+
+    def all(self) -> Summary:
+        return merged([s for level in self.levels for s in level], self.error * self.shares[-1])
 
-    Nulls and NaN are no values. Nothing is shuffled; a partition is sorted by the keys so that one buffer is held.
+
+def _changes(b: pd.DataFrame, keys: Sequence[str]) -> tuple[np.ndarray, list[tuple]]:
+    """Where the keys of consecutive rows change, and the keys from there on; equal nulls do not."""
+    change = np.zeros(len(b), bool)
+    change[:1] = True
+    for k in keys:
+        c = b[k].to_numpy()
+        differs = c[1:] != c[:-1]
+        if c.dtype.kind in "Of":
+            differs = differs & ~(pd.isna(c[1:]) & pd.isna(c[:-1]))
+        change[1:] |= np.asarray(differs, bool)
+    starts = np.flatnonzero(change)
+    heads = [tuple(None if pd.isna(h) else h for h in head) for head in b.iloc[starts][list(keys)].itertuples(index=False, name=None)]
+    return starts, heads
+
+
+def partial_summaries(df: DataFrame, keys: Sequence[str], value: str, *, error: float, buffer: int = 65_536, fan_in: int = FAN_IN) -> DataFrame:
+    """Summaries of each partition: one row (keys, part, n, v, rmin, rmax) per group of a partition, with half the error at most.
+
+    Nulls and NaN are no values. Nothing is shuffled; a partition is sorted by the keys, and of the group at hand one
+    buffer and at most fan_in summaries of each level are held.
     """
     keys = list(keys)
     fields = _schema(df, keys, T.StructField("part", T.IntegerType()), *_SUMMARY)
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        group, held, size = None, [], 0
+        group, held, size, stack = None, [], 0, _Stack(error, _IN_TASK, fan_in)
 
-        def close() -> tuple:
-            s = exact_summary(np.concatenate(held))
-            return (*group, part, *_row(compress(s, error * 2 * len(s[0]))))
+        def flush() -> None:
+            nonlocal held, size
+            if size:
+                s = exact_summary(np.concatenate(held))
+                stack.add(compress(s, error * _IN_TASK[0] * len(s[0])))
+            held, size = [], 0
 
         for b in batches:
             rows = []
             values = b[value].to_numpy(float)
-            change = np.zeros(len(b), bool)
-            change[:1] = True
-            for k in keys:
-                c = b[k].to_numpy()
-                differs = c[1:] != c[:-1]
-                if c.dtype.kind in "Of":
-                    differs = differs & ~(pd.isna(c[1:]) & pd.isna(c[:-1]))
-                change[1:] |= np.asarray(differs, bool)
-            starts = np.flatnonzero(change)
-            heads = list(b.iloc[starts][keys].itertuples(index=False, name=None))
+            starts, heads = _changes(b, keys)
             for head, i, j in zip(heads, starts, [*starts[1:], len(b)]):
-                head = tuple(None if pd.isna(h) else h for h in head)
-                if size and (head != group or size >= buffer):
-                    rows.append(close())
-                    held, size = [], 0
+                if group is not None and head != group:
+                    flush()
+                    rows.append((*group, part, *_row(stack.all())))
+                    stack = _Stack(error, _IN_TASK, fan_in)
                 group = head
                 held.append(values[i:j])
                 size += j - i
+                if size >= buffer:
+                    flush()
             if rows:
                 yield pd.DataFrame(rows, columns=fields.names)
-        if size:
-            yield pd.DataFrame([close()], columns=fields.names)
+        if group is not None:
+            flush()
+            yield pd.DataFrame([(*group, part, *_row(stack.all()))], columns=fields.names)
 
     usable = df.select(*keys, F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull() & ~F.isnan(value))
     return usable.sortWithinPartitions(*keys).mapInPandas(build, fields)
 
 
-def merged_summaries(parts: DataFrame, keys: Sequence[str], *, error: float, fan_in: int = 64, levels: int = 2) -> DataFrame:
-    """One summary per group: partial rows are merged in levels, each allowed the given share of error when it compresses."""
-    keys = list(keys)
-    for level in range(levels - 1, -1, -1):
-        parts = parts.withColumn("part", F.pmod(F.floor(F.col("part") / fan_in ** max(level - 1, 0)), F.lit(fan_in)).cast("int") if level else F.lit(0))
-        fields = _schema(parts, [*keys, "part"], *_SUMMARY)
+def merged_summaries(parts: DataFrame, keys: Sequence[str], *, error: float, fan_in: int = FAN_IN) -> DataFrame:
+    """One summary per group of rows (keys, part, n, v, rmin, rmax), such as those of partitions or of days.
 
-        def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    Parts are written first, and their numbers say how many levels there are: at each level a task merges the rows of
+    fan_in neighbouring parts, one after the other, and never holds more than fan_in of them. A hot group is so spread
+    over tasks until few parts are left. The levels share the error from one half upwards.
+    """
+    keys = list(keys)
+    parts = materialise(parts, "summaries")
+    top = parts.agg(F.max("part")).first()[0] or 0
+    levels = 1
+    while fan_in**levels <= top:
+        levels += 1
+    fields = _schema(parts, [*keys, "part"], *_SUMMARY)
+    for level in range(levels):
+        share = 0.5 + 0.5 * (level + 1) / levels
+
+        def combine(batches: Iterator[pd.DataFrame], share: float = share) -> Iterator[pd.DataFrame]:
+            group, stack = None, None
             for b in batches:
                 out = []
-                for row in b["_s"]:
-                    todo = sorted((_summary(s["v"], s["rmin"], s["rmax"]) for s in row), key=lambda s: len(s[0]))
-                    if len(todo) == 1:
-                        out.append(_row(todo[0]))
-                        continue
-                    while len(todo) > 1:  # in pairs, so that no summary is passed over once per other
-                        todo = [merge(todo[i], todo[i + 1]) if i + 1 < len(todo) else todo[i] for i in range(0, len(todo), 2)]
-                    out.append(_row(compress(todo[0], error * 2 * int(todo[0][2][-1]))))
-                yield pd.concat([b[[*keys, "part"]].reset_index(drop=True), pd.DataFrame(out, columns=["n", "v", "rmin", "rmax"])], axis=1)
-
-        gathered = parts.groupBy(*keys, "part").agg(F.collect_list(F.struct("v", "rmin", "rmax")).alias("_s"))
-        parts = gathered.mapInPandas(combine, fields)
+                starts, heads = _changes(b, [*keys, "part"])
+                for head, i, j in zip(heads, starts, [*starts[1:], len(b)]):
+                    if head != group:
+                        if group is not None:
+                            out.append((*group, *_row(stack.all())))
+                        group, stack = head, _Stack(error, (share,), fan_in)
+                    for k in range(i, j):
+                        stack.add(_summary(b["v"].iat[k], b["rmin"].iat[k], b["rmax"].iat[k]))
+                if out:
+                    yield pd.DataFrame(out, columns=fields.names)
+            if group is not None:
+                yield pd.DataFrame([(*group, *_row(stack.all()))], columns=fields.names)
+
+        parts = parts.withColumn("part", F.floor(F.col("part") / fan_in).cast("int")).repartition(*keys, "part").sortWithinPartitions(*keys, "part").mapInPandas(combine, fields)
     return parts.drop("part")
 
 
-def quantile_summaries(df: DataFrame, keys: Sequence[str], value: str, *, error: float = 0.001, levels: int = 2) -> DataFrame:
-    """Rows (keys, n, v, rmin, rmax) with ranks uncertain by at most error * n, exact for up to 1 / error values or so.
+def quantile_summaries(df: DataFrame, keys: Sequence[str], value: str, *, error: float = 0.001, fan_in: int = FAN_IN) -> DataFrame:
+    """Rows (keys, n, v, rmin, rmax), exact for up to 2 / error values; beyond, bounds of a rank lie within error * n of it.
 
-    The permitted error is shared out between the partial summaries and the levels of merging. A null key forms a group
-    of its own. Summaries kept from other days or partitions are merged by merged_summaries alone. Groups without a
-    value give no row.
+    A null key forms a group of its own. Summaries kept from other days or partitions are merged by merged_summaries
+    alone. Groups without a value give no row.
     """
-    share = error / (levels + 1)
-    return merged_summaries(partial_summaries(df, keys, value, error=share), keys, error=share, levels=levels)
+    return merged_summaries(partial_summaries(df, keys, value, error=error, fan_in=fan_in), keys, error=error, fan_in=fan_in)
 
 
 def summary_percentiles(summaries: DataFrame, keys: Sequence[str], percentiles: Sequence[float] = (0.5,)) -> DataFrame:
@@ -221,7 +279,7 @@ def wrong_medians(summary: DataFrame, scores: DataFrame, *, stored: str = "media
     readings are no cases; of a repeated summary row any that differs counts. Null ids match nothing.
     """
     keys = ["job_id", "track_id"]
-    readings = readings_once(scores, value)
+    readings = materialise(readings_once(scores, value), "readings")
     medians = summary_percentiles(quantile_summaries(readings, keys, value, error=error), keys)
     claims = summary.select(*keys, F.col(stored).cast("double").alias("_stored")).where(F.col("_stored").isNotNull() & ~F.isnan("_stored")).distinct()
     off = lambda m: F.abs(F.col("_stored") - m) > tolerance * F.abs(m)

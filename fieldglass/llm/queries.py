@@ -27,12 +27,13 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p4_team_space(spark: SparkSession, base: str) -> DataFrame:
-    """Percentiles of team_space per attacking side and period, frames counted once."""
+    """Percentiles of team_space per attacking side and period, frames counted once, with their bounds (equal to them in small groups)."""
     frames = table(spark, base, "frame_score").where(F.col("team_space").isNotNull())
     once = frames.groupBy("job_id", "frame_index").agg(F.max(F.struct("ingested_at", "attacking_side", "period", "team_space")).alias("r"))
-    once = once.select("r.attacking_side", "r.period", "r.team_space")
+    once = once.select("r.attacking_side", F.coalesce("r.period", F.lit(0)).cast("int").alias("period"), "r.team_space")  # 0: unknown
     keys = ["attacking_side", "period"]
-    return summary_percentiles(quantile_summaries(once, keys, "team_space", error=0.002), keys, (0.1, 0.5, 0.9))
+    out = summary_percentiles(quantile_summaries(once, keys, "team_space", error=0.0005), keys, (0.1, 0.5, 0.9))
+    return out.withColumns({c: F.round(c, 6) for c in ("estimate", "low", "high")})
 
 
 def p4_track_percentiles(spark: SparkSession, base: str) -> DataFrame:
@@ -108,6 +109,10 @@ ORACLES = {
 FROM groups g JOIN track_span s ON g.job_id = s.job_id AND g.track_id = s.track_id GROUP BY g.job_id, g.group_track_id""",
     "p4_found": f"""SELECT DISTINCT s.job_id, s.track_id FROM player_match_summary s JOIN (SELECT job_id, track_id, median(v) AS m FROM ({_ONCE}) GROUP BY ALL) r
 ON s.job_id = r.job_id AND s.track_id = r.track_id WHERE NOT isnan(s.median_space_owned) AND abs(s.median_space_owned - m) > CAST(0.05 AS DOUBLE) * abs(m)""",
+    "p4_team_space": """SELECT attacking_side, CAST(coalesce(period, 0) AS INTEGER) AS period, q AS percentile, n, round(e, 6) AS estimate, round(e, 6) AS low, round(e, 6) AS high FROM (
+  SELECT attacking_side, period, count(*) AS n, unnest([CAST(0.1 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.9 AS DOUBLE)]) AS q, unnest(quantile_cont(team_space, [0.1, 0.5, 0.9])) AS e FROM (
+    SELECT *, row_number() OVER (PARTITION BY job_id, frame_index ORDER BY ingested_at DESC NULLS LAST, attacking_side DESC NULLS LAST, period DESC NULLS LAST, team_space DESC) AS k FROM frame_score WHERE team_space IS NOT NULL)
+  WHERE k = 1 AND NOT isnan(team_space) GROUP BY attacking_side, period)""",
     "p4_track_percentiles": f"""SELECT job_id, track_id, q AS percentile, n, round(e, 6) AS estimate FROM (
   SELECT job_id, track_id, count(*) AS n, unnest([CAST(0.25 AS DOUBLE), CAST(0.5 AS DOUBLE), CAST(0.75 AS DOUBLE)]) AS q, unnest(quantile_cont(v, [0.25, 0.5, 0.75])) AS e FROM ({_ONCE}) GROUP BY job_id, track_id)""",
     "p6_found": "SELECT capacity_name, doc_id FROM pack_target JOIN documents ON strlen(text) > capacity_tokens",

@@ -2,7 +2,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fieldglass.llm.quantiles import compress, estimate, exact_summary, merge, quantile_summaries, summary_percentiles, value_bounds, wrong_medians
+from fieldglass.llm.quantiles import _Stack, compress, estimate, exact_summary, merge, merged_summaries, partial_summaries, quantile_summaries, summary_percentiles, value_bounds, wrong_medians
 
 values = st.lists(st.integers(-20, 20).map(float), min_size=1, max_size=60)
 
@@ -42,7 +42,6 @@ def test_large_groups_stay_within_the_error(spark):
 
 
 def test_summaries_of_days_are_mergeable(spark):
-    from fieldglass.llm.quantiles import merged_summaries
     from pyspark.sql import functions as F
 
     days = [quantile_summaries(spark.range(d * 1000, d * 1000 + 1000).select(F.lit("g").alias("g"), "id"), ["g"], "id").withColumn("part", F.lit(d)) for d in range(3)]
@@ -87,3 +86,46 @@ def test_equal_readings_at_the_bounds_are_counted_not_gathered(spark):
     found = wrong_medians(summary, scores, error=0.2)
     assert {tuple(r) for r in found.collect()} == want
     assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def test_one_row_per_partition_and_group(spark):
+    df = spark.range(0, 300_000, 1, 3).selectExpr("'g' AS g", "CAST(id % 1000 AS DOUBLE) AS v")
+    parts = partial_summaries(df, ["g"], "v", error=0.01, buffer=1000, fan_in=8).collect()
+    assert sorted(r.part for r in parts) == [0, 1, 2] and sum(r.n for r in parts) == 300_000
+    assert max(len(r.v) for r in parts) < 2000
+    for r in parts:
+        hi = np.array(r.rmax)
+        assert np.max(hi[1:] - np.array(r.rmin)[:-1]) <= 0.01 * r.n / 2 + 1
+
+
+def test_ten_thousand_parts_of_one_group_are_merged_by_fan_in(spark, monkeypatch):
+    """A hot group: no merge has more than fan_in inputs, and the error holds over all levels."""
+    rng = np.random.default_rng(3)
+    rows, everything = [], []
+    for part in range(10_000):
+        v = np.sort(np.round(rng.gamma(2, 10, 12), 2))
+        everything.append(v)
+        rows.append(("hot" if part % 3 else None, part, 12, v.tolist(), None, None))
+    schema = "g string, part int, n bigint, v array<double>, rmin array<bigint>, rmax array<bigint>"
+    parts = spark.createDataFrame(rows, schema).repartition(8)
+    got = merged_summaries(parts, ["g"], error=0.005, fan_in=16)
+    assert "collect_list" not in got._jdf.queryExecution().toString()
+    for r in summary_percentiles(got, ["g"], (0.01, 0.5, 0.97)).collect():
+        truth = np.sort(np.concatenate([v for p, v in enumerate(everything) if bool(p % 3) == (r.g == "hot")]))
+        assert r.n == len(truth) and r.low <= np.quantile(truth, r.percentile) <= r.high
+        assert np.searchsorted(truth, r.high, "left") - np.searchsorted(truth, r.low, "right") <= 2 * 0.005 * len(truth) + 1
+
+
+def test_a_stack_never_holds_more_than_fan_in():
+    rng = np.random.default_rng(9)
+    stack, everything = _Stack(0.01, (0.25, 0.375, 0.5), 4), []
+    for _ in range(300):
+        v = rng.normal(size=500)
+        everything.append(v)
+        stack.add(compress(exact_summary(v), 0.01 * 0.25 * 500))
+        assert all(len(level) < 4 for level in stack.levels)
+    s, truth = stack.all(), np.sort(np.concatenate(everything))
+    assert s[2][-1] == len(truth) and len(s[0]) < 4000
+    for rank in range(1, len(truth), 997):
+        low, high = value_bounds(s, rank)
+        assert low <= truth[rank - 1] <= high and np.searchsorted(truth, high) - np.searchsorted(truth, low, "right") <= 0.01 * 2 * len(truth)
