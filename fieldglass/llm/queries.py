@@ -71,7 +71,8 @@ def p7_shares(spark: SparkSession, base: str) -> DataFrame:
     """Shares wanted and reached."""
     documents = table(spark, base, "documents")
     rates = mixing_rates(documents, table(spark, base, "mix_target"))
-    return mixture_report(draw_mixture(documents, rates), rates)
+    report = mixture_report(draw_mixture(documents, rates), rates)
+    return report.withColumns({c: F.round(c, 6) for c in ("target_share", "wanted_tokens", "rate", "reached_share")})
 
 
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
@@ -102,7 +103,23 @@ _ONCE = "SELECT job_id, track_id, frame_index, max(space_owned) AS v FROM player
 _SIZES = """
 WITH sizes AS (SELECT t.source, t.target_share, t.max_repeats, coalesce(sum(strlen(d.text)), 0) AS size FROM mix_target t LEFT JOIN documents d ON t.source = d.source GROUP BY ALL)"""
 
+_MIXTURE = """
+WITH targets AS (SELECT source, coalesce(sum(CAST(target_share AS DOUBLE)), 0) AS target_share, CAST(coalesce(min(max_repeats), 0) AS BIGINT) AS max_repeats FROM mix_target WHERE source IS NOT NULL GROUP BY source),
+sizes AS (SELECT t.*, CAST(coalesce((SELECT sum(strlen(text)) FROM documents d WHERE d.source = t.source), 0) AS BIGINT) AS size_tokens FROM targets t),
+wanted AS (SELECT *, target_share * CAST((SELECT sum(size_tokens) FROM sizes) AS DOUBLE) AS wanted_tokens FROM sizes),
+rates AS (SELECT *, CASE WHEN size_tokens > 0 THEN least(wanted_tokens / size_tokens, CAST(max_repeats AS DOUBLE)) ELSE 0 END AS rate, max_repeats * size_tokens < wanted_tokens AS capped FROM wanted),
+copies AS (
+  SELECT d.source, d.doc_id, CAST(coalesce(strlen(d.text), 0) AS BIGINT) AS size_tokens,
+    CAST(floor(rate) AS INTEGER) + CASE WHEN CAST(concat('0x', substr(md5(concat('17:', d.doc_id)), 1, 13)) AS BIGINT) / CAST(4503599627370496 AS DOUBLE) < rate - floor(rate) THEN 1 ELSE 0 END AS n
+  FROM documents d JOIN rates r ON d.source = r.source),
+drawn AS (SELECT source, doc_id, CAST(unnest(range(1, n + 1)) AS INTEGER) AS copy, size_tokens FROM copies)"""
+
 ORACLES = {
+    "p7_mixture": _MIXTURE + " SELECT source, doc_id, copy, size_tokens FROM drawn",
+    "p7_shares": _MIXTURE
+    + """, sums AS (SELECT source, count(*) AS drawn_documents, CAST(sum(size_tokens) AS BIGINT) AS drawn_tokens, max(copy) AS most_copies FROM drawn GROUP BY source)
+SELECT r.source, round(target_share, 6) AS target_share, max_repeats, size_tokens, round(wanted_tokens, 6) AS wanted_tokens, round(rate, 6) AS rate, capped, coalesce(drawn_documents, 0) AS drawn_documents, coalesce(drawn_tokens, 0) AS drawn_tokens,
+  coalesce(most_copies, 0) AS most_copies, round(coalesce(drawn_tokens, 0) / greatest((SELECT sum(drawn_tokens) FROM sums), 1), 6) AS reached_share FROM rates r LEFT JOIN sums s ON r.source = s.source""",
     "p1_found": _GROUPS + " SELECT * FROM groups",
     "p1_groups": _GROUPS
     + """ SELECT g.job_id, g.group_track_id, count(DISTINCT g.track_id) AS n_tracks, min(least(s.first_frame, s.last_frame)) AS first_frame, max(greatest(s.first_frame, s.last_frame)) AS last_frame
