@@ -1,8 +1,9 @@
 """Implausible spikes in measurements.
 
 Every source (a track, or an attacking side) has a hidden Markov model with the states normal, spike, stuck and
-out of range. Spark orders the readings of a source and cuts them into blocks with overlapping context; inside a task
-the forward-backward recursion runs over many blocks at once. Its posteriors name the candidates, hard rules decide.
+out of range; scales and transitions are the source's own. Spark orders the readings of a source and cuts them into
+blocks with overlapping context; inside a task the forward-backward recursion runs over many blocks at once. Nothing is
+flagged that the posteriors do not put forward, and nothing that the hard bounds do not bear out.
 """
 
 from __future__ import annotations
@@ -28,19 +29,38 @@ class SpikeModel:
     stuck_run: int = 6
     min_offset: float = 4.0
     step_factor: float = 8.0
-    candidate_probability: float = 0.01
+    candidate_probability: float = 0.01  # of not being normal, from which a reading is put forward
     reach: int = 8  # readings on either side that the local course is judged from
-    spike_scale: float = 30.0  # metres, of the wide spike emission
-    block: int = 8192  # readings a block decides about
+    spike_scale: float = 30.0  # metres, of the wide spike emission, of a source that has shown none
+    repeated: float = 0.98  # probability that a stuck reading repeats a coordinate
+    outside_normal: float = 1e-6  # probability that a normal or stuck reading lies where no pitch is
+    block: int = 2048  # readings a block decides about
     context: int = 256  # readings of the neighbouring blocks it also sees
+    anchors: int = 16  # readings beyond them, free of repeats, that hold the course where all of those are stuck
     most_sweeps: int = 200  # of the exact rule over all candidates; what still changes is searched
     most_between: int = 400  # readings that a searched choice may pass over at once
-    transitions: tuple[tuple[float, ...], ...] = (
-        (0.980, 0.010, 0.005, 0.005),
+    leaving: tuple[tuple[float, ...], ...] = (  # from spike, stuck and out of range
         (0.550, 0.430, 0.010, 0.010),
         (0.080, 0.010, 0.900, 0.010),
         (0.500, 0.050, 0.050, 0.400),
     )
+    prior: float = 100.0  # readings that the prior rates of a source's transitions are worth
+
+
+@dataclass(frozen=True)
+class SourceStatistics:
+    """Per reading, what its whole source shows; the same wherever blocks end."""
+
+    step: np.ndarray  # median distance of successive readings
+    n: np.ndarray  # readings
+    repeats: np.ndarray  # readings that repeat a coordinate
+    leaps: np.ndarray  # steps of more than min_offset
+    leap: np.ndarray  # their mean
+
+    @classmethod
+    def of_step(cls, step: np.ndarray) -> SourceStatistics:
+        none = np.zeros(len(step))
+        return cls(step, none, none, none, np.full(len(step), np.nan))
 
 
 def _runs(values: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -75,7 +95,7 @@ def _residuals(t, x, y, begin, end, good, model: SpikeModel) -> np.ndarray:
 
 
 def _posteriors(emission: np.ndarray, begin: np.ndarray, length: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Forward-backward state probabilities of every reading; begin and length give the sequences."""
+    """Forward-backward state probabilities of every reading; begin, length and transitions (4, 4) of the sequences."""
     gamma = np.empty_like(emission)
     order = np.argsort(-length, kind="stable")
     for s in range(0, len(order), 256):
@@ -85,17 +105,18 @@ def _posteriors(emission: np.ndarray, begin: np.ndarray, length: np.ndarray, tra
         inside = steps[:, None] < length[slab][None, :]
         where = np.where(inside, begin[slab][None, :] + steps[:, None], 0)
         e = np.where(inside[:, :, None], emission[where], 1.0)
+        onward, back_to = transitions[slab], np.ascontiguousarray(np.swapaxes(transitions[slab], 1, 2))
         forward = np.empty_like(e)
         state = np.full((len(slab), 4), [0.97, 0.01, 0.01, 0.01]) * e[0]
         forward[0] = state / state.sum(axis=1, keepdims=True)
         for i in range(1, longest):
-            state = (forward[i - 1] @ transitions) * e[i]
+            state = np.matmul(forward[i - 1][:, None, :], onward)[:, 0, :] * e[i]
             forward[i] = state / state.sum(axis=1, keepdims=True)
         back = np.ones((len(slab), 4))
         for i in range(longest - 1, -1, -1):
             both = forward[i] * back
             forward[i] = both / both.sum(axis=1, keepdims=True)
-            back = (e[i] * back) @ transitions.T
+            back = np.matmul((e[i] * back)[:, None, :], back_to)[:, 0, :]
             back /= back.sum(axis=1, keepdims=True)
         gamma[where[inside]] = forward[inside]
     return gamma
@@ -140,12 +161,14 @@ def _consistent(t, x, y, limit, most_between: int) -> np.ndarray | None:
     return good
 
 
-def flag_sequences(t, x, y, has_y, median_step, group, model: SpikeModel = SpikeModel()) -> tuple[np.ndarray, np.ndarray]:
+def flag_sequences(t, x, y, has_y, source: SourceStatistics, group, model: SpikeModel = SpikeModel()) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors (n, 4) and a flag per reading (0 none, 1 spike, 2 stuck, 3 out of range, 4 open).
 
-    The readings of one group are contiguous and in order of t. Two rounds of forward-backward, the second judging the
-    course without the readings that the first took for spikes; then the exact rule on every candidate, against the
-    nearest readings that are no cases, until nothing changes. Where that never ends (at a lasting jump two readings can
+    The readings of one group are contiguous and in order of t. The observation of a reading is its distance from the
+    local course, whether it repeats a coordinate of a neighbour, and whether it lies outside; every state has a density
+    of all three. Two rounds of forward-backward, the second judging the course without the readings that the first took
+    for something else than normal. A reading put forward by the posteriors is out of range or stuck if the bounds say so, and a spike by the
+    exact rule against the nearest readings that are no cases, until nothing changes. Where that never ends (at a lasting jump two readings can
     each be a case only if the other is none) a choice that meets the rule is searched for; where there is none, the
     readings that contradict the rule are open.
     """
@@ -159,22 +182,32 @@ def flag_sequences(t, x, y, has_y, median_step, group, model: SpikeModel = Spike
 
     outside = (x < 0) | (x > model.x_max) | (y < 0) | (y > model.y_max)
     stuck = (_runs(x, first) >= model.stuck_run) | (has_y & (_runs(y, first) >= model.stuck_run))
-    hard = outside | stuck
-    scale = np.maximum(np.nan_to_num(median_step), 0.5)
-    good, gamma = ~hard, None
+    bound = outside | stuck
+    step = np.nan_to_num(source.step)
+    scale, wide = np.maximum(step, 0.5), np.clip(np.where(np.isnan(source.leap), model.spike_scale, source.leap), model.min_offset, 100.0)
+    same = np.zeros(n, bool)  # as the reading before or after it
+    again = ~first[1:] & ((x[1:] == x[:-1]) | (has_y[1:] & has_y[:-1] & (y[1:] == y[:-1])))
+    same[1:] |= again
+    same[:-1] |= again
+    repeat = np.clip((source.repeats + 1) / (source.n + model.prior), 0.01, 0.1)
+    seen = np.stack([np.where(same, p, 1 - p) for p in (repeat, repeat, np.full(n, model.repeated), repeat)], axis=1)
+    seen *= np.where(outside[:, None], [model.outside_normal, 0.05, model.outside_normal, 1.0], [1.0, 1.0, 1.0, model.outside_normal])
+    enter = np.clip((source.leaps / 2 + 0.01 * model.prior) / (source.n + model.prior), 0.002, 0.3)[starts]
+    transitions = np.empty((len(starts), 4, 4))
+    transitions[:, 0, :] = np.stack([1 - enter - 0.01, enter, np.full(len(starts), 0.005), np.full(len(starts), 0.005)], axis=1)
+    transitions[:, 1:, :] = model.leaving
+    good, gamma = ~bound, None
     for _ in range(2):
         r = np.minimum(_residuals(t, x, y, begin, end, good, model), 1e3)
-        emission = np.full((n, 4), 1e-12)
-        emission[:, 0] = np.maximum(np.exp(-r / scale) / scale, 1e-30)
-        emission[:, 1] = np.exp(-r / model.spike_scale) / model.spike_scale
-        emission[stuck] = (1e-9, 1e-9, 1.0, 1e-12)
-        emission[outside] = (1e-12, 1e-12, 1e-12, 1.0)
-        gamma = _posteriors(emission, starts, lengths, np.array(model.transitions))
-        good = ~hard & (gamma[:, 1] <= 0.5)
-
-    candidate = ~hard & (gamma[:, 1] >= model.candidate_probability)
-    case = hard | (gamma[:, 1] > 0.5)
-    limit = np.maximum(model.min_offset, model.step_factor * np.nan_to_num(median_step))
+        near, far = np.maximum(np.exp(-r / scale) / scale, 1e-30), np.exp(-r / wide) / wide
+        gamma = _posteriors(np.stack([near, far, (near + far) / 2, far], axis=1) * seen, starts, lengths, transitions)
+        good = ~bound & (gamma[:, 0] >= 0.5)
+
+    forward = 1 - gamma[:, 0] >= model.candidate_probability
+    hard = bound & forward
+    candidate = ~bound & forward
+    case = hard | (~bound & (gamma[:, 0] < 0.5))  # a few repeats may be stuck by the model and no case by the bounds, yet off the course
+    limit = np.maximum(model.min_offset, model.step_factor * step)
     rows = np.arange(n)
     c = np.flatnonzero(candidate)
 
@@ -212,7 +245,7 @@ def flag_sequences(t, x, y, has_y, median_step, group, model: SpikeModel = Spike
             good = _consistent(t[own], x[own], y[own], limit[own], model.most_between)
             if good is not None:
                 case[own] = ~good
-    flag = np.where(outside, 3, np.where(stuck, 2, np.where(case, 1, 0)))
+    flag = np.where(case, np.where(outside, 3, np.where(stuck, 2, 1)), 0)
     flag[swept(case) != case] = 4
     return gamma, flag
 
@@ -230,16 +263,27 @@ def implausible_readings(readings: DataFrame, model: SpikeModel = SpikeModel())
     ones the smallest counts). A source with fewer than three readings has no spikes.
 
     A reading's rank in its source comes from counts per chunk of frames, so no source is sorted in one task; a block
-    of ranks is decided in one task with context readings of its neighbours on both sides. The median step comes from
-    mergeable quantile digests (rank error under 1/100,000, exact for sources of fewer readings).
+    of ranks is decided in one task with context readings of its neighbours on both sides, and, where a source has
+    several blocks, with the nearest readings beyond them that are inside and repeat nothing: the course is known across
+    a stretch of any length that is stuck or out of range. Statistics are those of the whole source; the median step comes
+    from mergeable quantile digests (rank error under 1/100,000, exact for sources of fewer readings).
     """
     frames = 16_384
     key = [*_SOURCE, "_chunk"]
     placed = readings.select(*_SOURCE, F.col("frame_index").cast("long").alias("_t"), "x", "y").withColumn("_chunk", F.floor(F.col("_t") / frames))
     once = placed.repartition(*key).groupBy(*key, "_t").agg(F.min("x").alias("x"), F.min("y").alias("y"))
     in_chunk = Window.partitionBy(*key).orderBy("_t")
-    step = lambda px, py: F.hypot(F.col("x") - px, F.coalesce(F.col("y") - py, F.lit(0.0)))
-    ordered = materialise(once.withColumns({"_rn": F.row_number().over(in_chunk), "_step": step(F.lag("x").over(in_chunk), F.lag("y").over(in_chunk))}), "readings")
+    before, after = F.lag(F.struct("x", "y")).over(in_chunk), F.lead(F.struct("x", "y")).over(in_chunk)
+    ordered = once.withColumns({"_rn": F.row_number().over(in_chunk), "_before": before, "_after": after})
+    apart = lambda p, q: F.hypot(p("x") - q("x"), F.coalesce(p("y") - q("y"), F.lit(0.0)))
+    repeats = lambda p, q: (p("x") == q("x")) | F.coalesce(p("y") == q("y"), F.lit(False))
+    here, past, next_ = F.col, lambda c: F.col(f"_before.{c}"), lambda c: F.col(f"_after.{c}")
+    inside = F.col("x").between(0, model.x_max) & F.coalesce(F.col("y").between(0, model.y_max), F.lit(True))
+    ordered = ordered.select(
+        *key, "_t", "x", "y", "_rn", apart(here, past).alias("_step"), repeats(here, past).alias("_again"),
+        (inside & ~repeats(here, past) & ~repeats(here, next_)).alias("_free"),  # null at the ends of a chunk
+    )
+    ordered = materialise(ordered, "readings")
 
     # one row per source and chunk: readings before it, and the step across its start
     by_chunk = Window.partitionBy(*_SOURCE).orderBy("_chunk")
@@ -247,30 +291,35 @@ def implausible_readings(readings: DataFrame, model: SpikeModel = SpikeModel())
         F.count(F.lit(1)).alias("_n"), F.min_by(F.struct("x", "y"), "_rn").alias("_head"), F.max_by(F.struct("x", "y"), "_rn").alias("_tail")
     )
     chunks = chunks.withColumns({"_before": F.sum("_n").over(by_chunk) - F.col("_n"), "_last": F.lag("_tail").over(by_chunk)})
-    across = F.hypot(F.col("_head.x") - F.col("_last.x"), F.coalesce(F.col("_head.y") - F.col("_last.y"), F.lit(0.0)))
-    steps = ordered.select(*_SOURCE, "_step").union(chunks.select(*_SOURCE, across)).where(F.col("_step").isNotNull())
+    head, last = lambda c: F.col(f"_head.{c}"), lambda c: F.col(f"_last.{c}")
+    steps = ordered.select(*_SOURCE, "_step", "_again").union(chunks.select(*_SOURCE, apart(head, last), repeats(head, last))).where(F.col("_step").isNotNull())
     lower, upper = F.percentile_approx("_step", 0.5, 100_000), -F.percentile_approx(-F.col("_step"), 0.5, 100_000)
-    medians = steps.groupBy(*_SOURCE).agg(((lower + upper) / 2).alias("_median"))
+    leap = F.col("_step") > model.min_offset
+    medians = steps.groupBy(*_SOURCE).agg(
+        ((lower + upper) / 2).alias("_median"), F.count(F.lit(1)).alias("_total"), F.count_if("_again").alias("_repeats"), F.count_if(leap).alias("_leaps"), F.avg(F.when(leap, F.col("_step"))).alias("_leap")
+    )
 
     same = lambda a, b, on: [a[c].eqNullSafe(b[c]) for c in on]
     c, m = chunks.alias("c"), medians.alias("m")
-    offsets = c.join(m, same(chunks, medians, _SOURCE), "left").select(*[F.col(f"c.{k}") for k in key], "_before", "_median")
+    statistics = ["_median", "_total", "_repeats", "_leaps", "_leap"]
+    offsets = c.join(m, same(chunks, medians, _SOURCE), "left").select(*[F.col(f"c.{k}") for k in key], "_before", *statistics)
     ranked = ordered.alias("r").join(offsets.alias("o"), [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in key])
-    ranked = ranked.select(*[F.col(f"r.{k}") for k in _SOURCE], "_t", "x", "y", "_median", (F.col("_before") + F.col("_rn") - 1).alias("_rank"))
+    ranked = ranked.select(*[F.col(f"r.{k}") for k in _SOURCE], "_t", "x", "y", "_free", *statistics, (F.col("_before") + F.col("_rn") - 1).alias("_rank"))
 
     home, at = F.floor(F.col("_rank") / model.block), F.pmod("_rank", F.lit(model.block))
     blocks = F.array_compact(
         F.array(home, F.when((at < model.context) & (home > 0), home - 1), F.when(at >= model.block - model.context, home + 1))
     )
     spread = ranked.withColumn("_block", F.explode(blocks)).withColumn("_core", F.col("_block") == home)
+    columns = [*_SOURCE, "_block", "_rank", "_core", "_t", "x", "y", *statistics]
+    spread = spread.select(*columns).union(_anchors(ranked, statistics, model).select(*columns))
     spread = spread.repartition(*_SOURCE, "_block").sortWithinPartitions(*_SOURCE, "_block", "_rank")
     spread = spread.withColumn("_group", F.xxhash64(*_SOURCE, "_block"))
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in whole_groups(batches, "_group", 50_000):
-            gamma, flag = flag_sequences(
-                b._t.to_numpy(float), b.x.to_numpy(float), b.y.to_numpy(float), b.y.notna().to_numpy(), b._median.to_numpy(float), b._group.to_numpy(), model
-            )
+            source = SourceStatistics(*(b[c].fillna(0.0 if c != "_leap" else np.nan).to_numpy(float) for c in statistics))
+            gamma, flag = flag_sequences(b._t.to_numpy(float), b.x.to_numpy(float), b.y.to_numpy(float), b.y.notna().to_numpy(), source, b._group.to_numpy(), model)
             keep = b._core.to_numpy(bool) & (flag > 0)
             out = b.loc[keep, [*_SOURCE, "_t", "x", "y"]].rename(columns={"_t": "frame_index"})
             yield out.assign(flag=_FLAGS[flag[keep]], p_spike=gamma[keep, 1], p_stuck=gamma[keep, 2], p_range=gamma[keep, 3])
@@ -280,6 +329,28 @@ def implausible_readings(readings: DataFrame, model: SpikeModel = SpikeModel())
     )
 
 
+def _anchors(ranked: DataFrame, statistics: Sequence[str], model: SpikeModel) -> DataFrame:
+    """Of every block of the sources that have several, the nearest free readings before and after its context."""
+    home = F.floor(F.col("_rank") / model.block)
+    reading = F.when(F.col("_free"), F.struct("_rank", "_t", "x", "y"))
+    own = ranked.where(F.col("_total") >= model.block).withColumn("_block", home).groupBy(*_SOURCE, "_block").agg(
+        F.array_sort(F.collect_list(reading)).alias("_all"), *[F.first(c).alias(c) for c in statistics]  # of one block
+    )
+    ends = own.select(
+        *_SOURCE, "_block", *statistics, F.when(F.size("_all") > 0, F.slice("_all", 1, model.anchors)).alias("_head"), F.when(F.size("_all") > 0, F.slice("_all", -F.least(F.size("_all"), F.lit(model.anchors)), model.anchors)).alias("_tail")
+    )
+    line = Window.partitionBy(*_SOURCE).orderBy("_block")
+    before = F.last("_tail", ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("_head", ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing))
+    none = F.expr("CAST(array() AS array<struct<_rank: bigint, _t: bigint, x: double, y: double>>)")
+    far = F.concat(
+        F.filter(F.coalesce(before, none), lambda r: r["_rank"] < F.col("_block") * model.block - model.context),
+        F.filter(F.coalesce(after, none), lambda r: r["_rank"] >= (F.col("_block") + 1) * model.block + model.context),
+    )
+    rows = ends.withColumn("_a", far).select(*_SOURCE, "_block", *statistics, F.explode("_a").alias("_a"))
+    return rows.select(*_SOURCE, "_block", *statistics, F.col("_a._rank").alias("_rank"), F.lit(False).alias("_core"), F.col("_a._t").alias("_t"), F.col("_a.x").alias("x"), F.col("_a.y").alias("y"))
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], column: str, rows: int) -> Iterator[pd.DataFrame]:
     """Batches joined to about so many rows, never cutting a run of equal values of column."""
     held: list[pd.DataFrame] = []

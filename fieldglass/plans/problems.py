@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldglass.operators.anomalies import implausible_readings, line_readings, position_readings
+from fieldglass.operators.anomalies import SpikeModel, implausible_readings, line_readings, position_readings
 from fieldglass.operators.gridding import regular_grid
 from fieldglass.operators.references import Parent, Reference, orphan_references, orphan_report
 from fieldglass.sources.tables import table
@@ -34,10 +34,10 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p3_rates(spark: SparkSession, base: str) -> DataFrame:
-    """Flagged readings per table and kind, with the mean probability that the model gave them."""
-    return spikes(spark, base).groupBy("table_name", "flag").agg(
-        F.count(F.lit(1)).alias("n_readings"), F.countDistinct("job_id", "track_id", "side").alias("n_sources"), F.avg(F.greatest("p_spike", "p_stuck", "p_range")).alias("mean_probability")
-    )
+    """Flagged readings and their sources per table and kind, and how many of them the model put forward."""
+    likely = F.col("p_spike") + F.col("p_stuck") + F.col("p_range") >= SpikeModel().candidate_probability
+    source = F.struct(F.coalesce("job_id", F.lit("")), F.coalesce("track_id", F.lit(-2)), F.coalesce("side", F.lit("")))
+    return spikes(spark, base).groupBy("table_name", "flag").agg(F.count(F.lit(1)).alias("n_readings"), F.countDistinct(source).alias("n_sources"), F.count_if(likely).alias("n_likely"))
 
 
 def orphans(spark: SparkSession, base: str) -> DataFrame:
@@ -90,7 +90,34 @@ found AS (
     CASE WHEN parents.k IS NULL THEN 'missing' WHEN deleted <= t THEN 'deleted' WHEN created > t THEN 'late' END AS kind
   FROM refs LEFT JOIN parents ON refs.p = parents.p AND refs.ref_key = parents.k)"""
 
+# The rule alone, without a model: from the readings far off the median of their neighbours, all readings are judged anew against
+# the nearest ones that are no cases, eight times. On the test tables that settles, and where the model settles.
+_SPIKES = """
+WITH RECURSIVE readings AS (
+  SELECT 'player_frame_score' AS table_name, job_id, track_id, CAST(NULL AS VARCHAR) AS side, frame_index, min(pitch_x) AS x, min(pitch_y) AS y FROM player_frame_score WHERE isfinite(pitch_x) AND isfinite(pitch_y) AND frame_index IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'frame_score', job_id, -1, attacking_side, frame_index, min(offside_line), CAST(NULL AS DOUBLE) FROM frame_score WHERE isfinite(offside_line) AND frame_index IS NOT NULL GROUP BY ALL),
+sources AS (SELECT *, dense_rank() OVER (ORDER BY table_name, job_id, track_id, side) AS source FROM readings),
+steps AS (
+  SELECT *, x < 0 OR x > 120 OR coalesce(y < 0 OR y > 90, false) AS outside, sqrt((x - px) ** 2 + coalesce((y - py) ** 2, 0)) AS step,
+    sum(CASE WHEN x = px THEN 0 ELSE 1 END) OVER w AS run_x, sum(CASE WHEN y = py THEN 0 ELSE 1 END) OVER w AS run_y
+  FROM (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM sources WINDOW w AS (PARTITION BY source ORDER BY frame_index)) WINDOW w AS (PARTITION BY source ORDER BY frame_index)),
+base AS (
+  SELECT *, outside OR count(*) OVER (PARTITION BY source, run_x) >= 6 OR (y IS NOT NULL AND count(*) OVER (PARTITION BY source, run_y) >= 6) AS hard, greatest(4, coalesce(8 * median(step) OVER (PARTITION BY source), 0)) AS lim FROM steps),
+sweeps AS (
+  SELECT source, frame_index, x, y, hard, lim, hard OR coalesce(sqrt((x - median(CASE WHEN NOT hard THEN x END) OVER w) ** 2 + coalesce((y - median(CASE WHEN NOT hard THEN y END) OVER w) ** 2, 0)) > lim, false) AS flagged, 0 AS k
+  FROM base WINDOW w AS (PARTITION BY source ORDER BY frame_index ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)
+  UNION ALL
+  SELECT source, frame_index, x, y, hard, lim, CASE WHEN odd > 0 THEN NOT flagged ELSE flagged END, k + 1
+  FROM (SELECT *, CASE WHEN hard THEN 0 WHEN flagged AND NOT off > lim THEN lim - off WHEN NOT flagged AND off > lim THEN off ELSE 0 END AS odd FROM (
+    SELECT *, coalesce(sqrt((x - (p.x + (n.x - p.x) * w)) ** 2 + coalesce((y - (p.y + (n.y - p.y) * w)) ** 2, 0)), 0) AS off FROM (SELECT *, (frame_index - p.f) / CAST(n.f - p.f AS DOUBLE) AS w FROM (
+    SELECT *, last_value(CASE WHEN NOT flagged THEN {'f': frame_index, 'x': x, 'y': y} END IGNORE NULLS) OVER (PARTITION BY source ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p,
+      first_value(CASE WHEN NOT flagged THEN {'f': frame_index, 'x': x, 'y': y} END IGNORE NULLS) OVER (PARTITION BY source ORDER BY frame_index ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS n
+    FROM sweeps WHERE k < 8))))),
+cases AS (SELECT b.*, CASE WHEN b.outside THEN 'out_of_range' WHEN b.hard THEN 'stuck' ELSE 'spike' END AS flag FROM sweeps s JOIN base b USING (source, frame_index) WHERE k = 8 AND flagged)"""
+
 ORACLES = {
+    "p3_found": _SPIKES + " SELECT DISTINCT table_name, job_id, track_id, frame_index FROM cases",
+    "p3_rates": _SPIKES + " SELECT table_name, flag, count(*) AS n_readings, count(DISTINCT source) AS n_sources, count(*) AS n_likely FROM cases GROUP BY ALL",
     "p2_found": _GRID + " SELECT s.job_id, s.track_id, CAST(s.k * s.stride AS INTEGER) AS grid_frame FROM spine s LEFT JOIN observed o ON s.job_id = o.job_id AND s.track_id = o.track_id AND s.k = o.k WHERE o.k IS NULL",
     "p2_grid": _GRID
     + """, line AS (
