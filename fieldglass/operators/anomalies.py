@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from fieldglass.operators.ordered import whole_groups
 from fieldglass.session import materialise
 
 
@@ -351,26 +352,6 @@ def _anchors(ranked: DataFrame, statistics: Sequence[str], model: SpikeModel) ->
     return rows.select(*_SOURCE, "_block", *statistics, F.col("_a._rank").alias("_rank"), F.lit(False).alias("_core"), F.col("_a._t").alias("_t"), F.col("_a.x").alias("x"), F.col("_a.y").alias("y"))
 
 
-def whole_groups(batches: Iterator[pd.DataFrame], column: str, rows: int) -> Iterator[pd.DataFrame]:
-    """Batches joined to about so many rows, never cutting a run of equal values of column."""
-    held: list[pd.DataFrame] = []
-    size = 0
-    for b in batches:
-        held.append(b)
-        size += len(b)
-        if size < rows:
-            continue
-        whole = pd.concat(held, ignore_index=True)
-        ids = whole[column].to_numpy()
-        other = np.flatnonzero(ids != ids[-1])
-        cut = int(other[-1]) + 1 if len(other) else 0
-        if cut:
-            yield whole.iloc[:cut].reset_index(drop=True)
-        held, size = [whole.iloc[cut:]], len(whole) - cut
-    if size:
-        yield pd.concat(held, ignore_index=True)
-
-
 def position_readings(scores: DataFrame) -> DataFrame:
     """player_frame_score as readings of tracks."""
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from fieldglass.operators.ordered import CHUNK, carried, fold_in_order
+
 
 @dataclass(frozen=True)
 class BallConfig:
@@ -29,28 +31,29 @@ def _schema(df: DataFrame, *more: T.StructField) -> T.StructType:
 def reject_outliers(track: DataFrame, *, fps: float = 25.0, config: BallConfig = BallConfig(), match: str = "match_no") -> DataFrame:
     """x, y of one row per frame with a point made null if it cannot be reached from the last accepted one at max_speed.
 
-    What is accepted decides about what follows, so a match is folded in order of its frames in one task.
+    What is accepted decides about what follows, so a match is folded in order of its frames, an Arrow batch at a time.
     """
     dt = 1.0 / fps if fps > 0 else 0.04
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index", ignore_index=True)
-        f, x, y = pdf.frame_index.to_numpy(), pdf.x.to_numpy(float), pdf.y.to_numpy(float)
-        known = np.flatnonzero(~(np.isnan(x) | np.isnan(y)))
-        drop, anchor = [], None
-        for i in known.tolist():
-            if anchor is not None:
-                elapsed = (f[i] - f[anchor]) * dt
-                if elapsed > 0 and np.hypot(x[i] - x[anchor], y[i] - y[anchor]) / elapsed > config.max_speed:
-                    drop.append(i)
-                    continue
-                if elapsed <= 0:
-                    continue
-            anchor = i
-        pdf.loc[drop, ["x", "y"]] = np.nan
-        return pdf
-
-    out = track.groupBy(match).applyInPandas(fold, track.schema)
+    class Fold:
+        anchor: tuple[float, float, float] | None = None
+
+        def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
+            f, x, y = pdf.frame_index.to_numpy(float), pdf.x.to_numpy(float), pdf.y.to_numpy(float)
+            drop = []
+            for i in np.flatnonzero(~(np.isnan(x) | np.isnan(y))).tolist():
+                if self.anchor is not None:
+                    elapsed = (f[i] - self.anchor[0]) * dt
+                    if elapsed > 0 and np.hypot(x[i] - self.anchor[1], y[i] - self.anchor[2]) / elapsed > config.max_speed:
+                        drop.append(i)
+                        continue
+                    if elapsed <= 0:
+                        continue
+                self.anchor = (f[i], x[i], y[i])
+            pdf.loc[drop, ["x", "y"]] = np.nan
+            return pdf
+
+    out = fold_in_order(track, match, ["frame_index"], Fold, track.schema)
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("x", "y")})
 
 
@@ -60,11 +63,7 @@ def interpolate(track: DataFrame, *, config: BallConfig = BallConfig(), match: s
     Before the first and after the last known point it is held for max_extrapolate frames.
     """
     known = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.struct("frame_index", "x", "y"))
-    line = Window.partitionBy(match).orderBy("frame_index")
-    both = track.withColumns({
-        "_p": F.last(known, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_n": F.first(known, ignorenulls=True).over(line.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
-    })
+    both = carried(track, {"_p": (known, "last"), "_n": (known, "next")}, match=match)
     f, p, n = F.col("frame_index"), F.col("_p.frame_index"), F.col("_n.frame_index")
     w = F.when(n > p, (f - p) / (n - p)).otherwise(F.lit(0.0))
 
@@ -82,11 +81,14 @@ def interpolate(track: DataFrame, *, config: BallConfig = BallConfig(), match: s
 def smooth(track: DataFrame, *, config: BallConfig = BallConfig(), match: str = "match_no") -> DataFrame:
     """Centred moving average within runs of consecutive known frames; nothing is averaged across a gap."""
     half = max(1, config.smoothing_window | 1) // 2
+    home, at = F.floor(F.col("frame_index") / CHUNK), F.pmod("frame_index", F.lit(CHUNK))
+    chunks = F.array_compact(F.array(home, F.when(at < half, home - 1), F.when(at >= CHUNK - half, home + 1)))  # with a copy of what lies next to it
+    rows = track.withColumn("_chunk", F.explode(chunks)).withColumn("_own", F.col("_chunk") == home)
     known = F.col("x").isNotNull()
-    order = Window.partitionBy(match, known).orderBy("frame_index")
-    runs = track.withColumn("_run", F.col("frame_index") - F.row_number().over(order))
-    near = Window.partitionBy(match, known, "_run").orderBy("frame_index").rowsBetween(-half, half)
-    return runs.withColumns({c: F.when(known, F.avg(c).over(near)) for c in ("x", "y")}).drop("_run")
+    keys = [match, "_chunk", known]
+    runs = rows.withColumn("_run", F.col("frame_index") - F.row_number().over(Window.partitionBy(*keys).orderBy("frame_index")))
+    near = Window.partitionBy(*keys, "_run").orderBy("frame_index").rowsBetween(-half, half)
+    return runs.withColumns({c: F.when(known, F.avg(c).over(near)) for c in ("x", "y")}).where("_own").drop("_run", "_own", "_chunk")
 
 
 def repair(track: DataFrame, *, fps: float = 25.0, config: BallConfig = BallConfig(), match: str = "match_no") -> DataFrame:
@@ -104,7 +106,8 @@ def best_path(candidates: DataFrame, frames: DataFrame, *, fps: float = 25.0, co
     """x, y per frame of the cheapest path through the candidates, null where it has none.
 
     A candidate costs 1 - confidence, a frame without one missing_cost, and motion between candidates of adjacent
-    frames metre_cost a metre, at most at max_speed. Of equal costs the first listed candidate counts, none last.
+    frames metre_cost a metre, at most at max_speed. Of equal costs the first listed candidate counts, none last. A task
+    holds the frames from one without candidates to the next.
     """
     dt = 1.0 / fps if fps > 0 else 0.04
     lists = candidates.groupBy(match, "frame_index").agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y", "confidence"))).alias("_c"))
@@ -112,8 +115,10 @@ def best_path(candidates: DataFrame, frames: DataFrame, *, fps: float = 25.0, co
     rows = rows.select(match, "frame_index", *[F.coalesce(F.col(f"_c.{c}"), F.array().cast("array<double>")).alias(f"_{c}") for c in ("x", "y", "confidence")])
     fields = T.StructType([rows.schema[match], rows.schema["frame_index"], T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 
+    # all paths meet in a frame without candidates, so what lies between two such frames is a problem of its own
+    rows = carried(rows, {"_part": (F.when(F.size("_x") == 0, 1).otherwise(0), "sum")}, match=match)
+
     def viterbi(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index", ignore_index=True)
         cost, back = None, []
         px = py = np.zeros(0)
         for x, y, c in zip(pdf._x, pdf._y, pdf._confidence):
@@ -140,4 +145,4 @@ def best_path(candidates: DataFrame, frames: DataFrame, *, fps: float = 25.0, co
         at = [(x[j], y[j]) if j < len(x) else (None, None) for x, y, j in zip(pdf._x, pdf._y, path)]
         return pd.DataFrame({match: pdf[match], "frame_index": pdf.frame_index, "x": [a[0] for a in at], "y": [a[1] for a in at]})
 
-    return rows.groupBy(match).applyInPandas(viterbi, fields)
+    return fold_in_order(rows, match, ["frame_index"], lambda: viterbi, fields, segment="_part")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from fieldglass.functions import geometry as g
+from fieldglass.operators.ordered import fold_in_order
 from fieldglass.session import spread
 
 
@@ -156,13 +159,15 @@ def gate_calibrations(calibrations: DataFrame, match: str = "match_no", config:
     """Rows (match, frame_index, h, status) after the gate; needs a row per frame, with a null h where there is no fit."""
     fields = T.StructType([calibrations.schema[match], calibrations.schema["frame_index"], T.StructField("h", T.ArrayType(T.DoubleType())), T.StructField("status", T.StringType())])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index", ignore_index=True)
-        gate = Gate(config)
-        out = [gate.push(None if h is None else list(h)) for h in pdf.h]
-        return pd.DataFrame({match: pdf[match], "frame_index": pdf.frame_index, "h": [o[0] for o in out], "status": [o[1] for o in out]})
+    class Fold:
+        def __init__(self) -> None:
+            self.gate = Gate(config)
 
-    return calibrations.select(match, "frame_index", "h").groupBy(match).applyInPandas(fold, fields)
+        def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
+            out = [self.gate.push(None if h is None else list(h)) for h in pdf.h]
+            return pd.DataFrame({match: pdf[match], "frame_index": pdf.frame_index, "h": [o[0] for o in out], "status": [o[1] for o in out]})
+
+    return fold_in_order(calibrations.select(match, "frame_index", "h"), match, ["frame_index"], Fold, fields)
 
 
 # The places on the pitch at which two calibrations are compared.
@@ -195,9 +200,23 @@ def with_truth_error(df: DataFrame, estimate: str, truth: str) -> DataFrame:
 
 def tail_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Median, p90 (the value at place floor(0.9 n) of the sorted ones, the last at most) and worst of non-null values."""
-    ranked = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys).agg(F.median(value).alias("median"), F.sort_array(F.collect_list(value)).alias("_v"), F.count(F.lit(1)).alias("n"))
-    at = F.least(F.col("n") - 1, F.floor(F.col("n") * 0.9)).cast("int")
-    return ranked.select(*keys, "n", "median", F.get("_v", at).alias("p90"), F.get("_v", (F.col("n") - 1).cast("int")).alias("worst"))
+    # equal values count as one row, and rows get their ranks from counts per range of values: no group is ordered in one task
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    ends = known.groupBy(*keys).agg(F.min("_v").alias("_low"), F.max("_v").alias("worst"), F.sum("_c").alias("n"))
+    same = lambda a, b, on: functools.reduce(operator.and_, [a[k].eqNullSafe(b[k]) for k in on], F.lit(True))
+    k, e = known.alias("k"), ends.alias("e")
+    share = (F.col("_v") - F.col("_low")) / F.greatest(F.col("worst") - F.col("_low"), F.lit(1e-300))
+    binned = k.join(e, same(known, ends, keys)).select(*[F.col(f"k.{c}") for c in keys], "_v", "_c", "_low", "worst", "n").withColumn("_bin", F.floor(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * 1000).cast("int"))
+    own = binned.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_here"))
+    own = own.withColumn("_under", F.sum("_here").over(Window.partitionBy(*keys).orderBy("_bin")) - F.col("_here"))  # 1,001 rows a group at most
+    b, o = binned.alias("b"), own.alias("o")
+    placed = b.join(o, same(binned, own, [*keys, "_bin"])).select(*[F.col(f"b.{c}") for c in keys], "b._bin", "_v", "_c", "worst", "n", "_under")
+    places = [F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2), F.least(F.col("n") - 1, F.floor(F.col("n") * 0.9))]
+    upto = F.col("_under") + F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_v"))
+    ranked = placed.withColumn("_upto", upto)
+    at = lambda p: F.min(F.when(F.col("_upto") > p, F.col("_v")))
+    out = ranked.groupBy(*keys).agg(F.first("n").alias("n"), at(places[0]).alias("_a"), at(places[1]).alias("_b"), at(places[2]).alias("p90"), F.first("worst").alias("worst"))
+    return out.select(*keys, "n", ((F.col("_a") + F.col("_b")) / 2).alias("median"), "p90", "worst")
 
 
 def ground_truth(df: DataFrame, column: str = "json") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from fieldglass.functions import geometry as g
-from fieldglass.session import spread
+from fieldglass.operators.ordered import carried
 
 KEY = ("match_no", "frame_index")
 
@@ -50,21 +50,19 @@ def with_possession(scenes: DataFrame, *, hysteresis: float = 1.5, max_distance:
     """attacking_team: the side in possession, null until there is one.
 
     The nearest side within max_distance of the ball takes it first; afterwards only a side nearer than the other by
-    more than hysteresis takes it over. A loose or unseen ball leaves it where it was. As two ignore-null windows:
-    the last side that was nearer by the margin, or else the first that was near at all.
+    more than hysteresis takes it over. A loose or unseen ball leaves it where it was. As two look-ups among the
+    frames up to this one: the last side that was nearer by the margin, or else the first that was near at all.
     """
     home, away = _least_distance("home"), _least_distance("away")
     inf = F.lit(float("inf"))
-    # the window wants matches whole; what follows it computes much on few bytes
-    held = spread(scenes.withColumns({"_h": F.coalesce(home, inf), "_a": F.coalesce(away, inf)}), match)
+    held = scenes.withColumns({"_h": F.coalesce(home, inf), "_a": F.coalesce(away, inf)})
     first_listed = F.get(F.transform(F.filter("players", lambda p: p["team"].isin("home", "away") & p["x"].isNotNull()), lambda p: p["team"]), F.lit(0))
     near = F.when(F.col("_h") < F.col("_a"), "home").when(F.col("_a") < F.col("_h"), "away").otherwise(first_listed)
     by, other = F.least("_h", "_a"), F.greatest("_h", "_a")
     held = held.withColumn("_any", F.when(F.col("ball_x").isNotNull() & (by <= max_distance), near))
     held = held.withColumn("_force", F.when(by + hysteresis < other, F.col("_any")))
-    line = Window.partitionBy(match).orderBy("frame_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = F.coalesce(F.last("_force", ignorenulls=True).over(line), F.first("_any", ignorenulls=True).over(line))
-    return held.withColumn("attacking_team", taken).drop("_h", "_a", "_any", "_force")
+    held = carried(held, {"_forced": (F.col("_force"), "last"), "_began": (F.col("_any"), "first")}, match=match)
+    return held.withColumn("attacking_team", F.coalesce("_forced", "_began")).drop("_h", "_a", "_any", "_force", "_forced", "_began")
 
 
 def gated(scenes: DataFrame, *, length: float = g.PITCH_LENGTH, width: float = g.PITCH_WIDTH) -> DataFrame:
@@ -116,18 +114,23 @@ def supporting_players(scenes: DataFrame, keep: Sequence[str] = ()) -> DataFrame
     ball = (F.col("ball_x"), F.col("ball_y"))
     rows = scenes.withColumn("a", F.explode("attackers")).where(~F.col("a.track_id").eqNullSafe(F.col("carrier_id")))
     x, y = F.col("a.x"), F.col("a.y")
-    # the point of the lane nearest to each defender, then the distance from it; what is not the defender's own is worked out once
     rows = rows.withColumns({"_dx": x - ball[0], "_dy": y - ball[1]}).withColumn("_long", F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
-    share = lambda d: g.clamp(((d["x"] - ball[0]) * F.col("_dx") + (d["y"] - ball[1]) * F.col("_dy")) / F.col("_long"), 0, 1)
-    feet = F.transform("defenders", lambda d: F.struct(d["x"].alias("x"), d["y"].alias("y"), F.when(F.col("_long") > 1e-18, share(d)).otherwise(0.0).alias("t")))
-    lanes = F.transform(feet, lambda p: g.distance(p["x"], p["y"], ball[0] + F.col("_dx") * p["t"], ball[1] + F.col("_dy") * p["t"]))
-    near = F.array_min(F.transform("defenders", lambda d: g.distance(d["x"], d["y"], x, y)))
-    rows = rows.withColumns({"_lanes": lanes, "nearest_opponent": near})
+
+    def seen(so_far, d):
+        """One defender more: least distance from the lane, from the attacker, and how many stand in the lane."""
+        share = F.when(F.col("_long") > 1e-18, g.clamp(((d["x"] - ball[0]) * F.col("_dx") + (d["y"] - ball[1]) * F.col("_dy")) / F.col("_long"), 0, 1)).otherwise(0.0)
+        lane = g.distance(d["x"], d["y"], ball[0] + F.col("_dx") * share, ball[1] + F.col("_dy") * share)
+        return F.struct(
+            F.least(so_far["lane"], lane).alias("lane"), F.least(so_far["near"], g.distance(d["x"], d["y"], x, y)).alias("near"), (so_far["blockers"] + (lane <= g.LANE_CORRIDOR).cast("int")).alias("blockers")
+        )
+
+    nobody = F.struct(F.lit(float("inf")).alias("lane"), F.lit(None).cast("double").alias("near"), F.lit(0).alias("blockers"))
+    # worked out as rows of their own, or every column taken from it would work it out again
+    rows = rows.withColumn("_d", F.explode(F.array(F.aggregate("defenders", nobody, seen))))
     rows = rows.withColumns({
-        "track_id": F.col("a.track_id"), "x": x, "y": y, "offside_margin": x - F.col("offside_line"),
-        "lane_clearance": F.coalesce(F.array_min("_lanes"), F.lit(float("inf"))), "blockers": F.size(F.filter("_lanes", lambda d: d <= g.LANE_CORRIDOR)),
-        "marking_pressure": g.pressure(F.col("nearest_opponent")), "position_value": g.pitch_value(x, y),
-    }).withColumn("lane_open", F.col("blockers") == 0)
+        "track_id": F.col("a.track_id"), "x": x, "y": y, "offside_margin": x - F.col("offside_line"), "lane_clearance": F.col("_d.lane"), "blockers": F.col("_d.blockers"),
+        "nearest_opponent": F.col("_d.near"), "marking_pressure": g.pressure(F.col("_d.near")), "position_value": g.pitch_value(x, y), "lane_open": F.col("_d.blockers") == 0,
+    })
     out = [*KEY, "track_id", "x", "y", "offside_margin", "lane_open", "lane_clearance", "blockers", "nearest_opponent", "marking_pressure", "position_value"]
     if "defensive_lines" in scenes.columns:
         rows = rows.withColumn("lines_broken", F.size(F.filter("defensive_lines", lambda c: x > c)))

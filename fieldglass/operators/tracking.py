@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldglass.operators.ordered import fold_in_order
+
 
 @dataclass(frozen=True)
 class TrackerConfig:
@@ -92,22 +94,25 @@ def track_detections(detections: DataFrame, frames: DataFrame, config: TrackerCo
 
     detections: match, frame_index, ord, label, confidence, x1, y1, x2, y2; those labelled 'ball' and boxes with a null
     or reversed corner are left out, a null confidence is 0. Frames without detections age the tracks. The frames of a
-    match are folded in order in one task.
+    match are folded in order, an Arrow batch at a time.
     """
     boxes = ["x1", "y1", "x2", "y2"]
     players = detections.where(~F.col("label").eqNullSafe("ball") & (F.col("x2") >= F.col("x1")) & (F.col("y2") >= F.col("y1")))
     rows = frames.select(match, "frame_index").distinct().join(players.select(match, "frame_index", "ord", F.coalesce("confidence", F.lit(0.0)).alias("confidence"), *boxes), [match, "frame_index"], "left")
     kind = rows.schema[match].dataType.simpleString()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        tracker, out = TrackFold(config), []
-        pdf = pdf.sort_values(["frame_index", "ord"])
-        for frame, own in pdf.groupby("frame_index", sort=True):
-            own = own[own.x1.notna()]
-            out += [(pdf[match].iloc[0], frame, *row) for row in tracker.step(own[boxes].to_numpy(float), own.confidence.to_numpy(float))]
-        return pd.DataFrame(out, columns=[match, "frame_index", "track_id", *boxes, "confidence"])
+    class Fold:
+        def __init__(self) -> None:
+            self.tracker = TrackFold(config)
+
+        def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            for frame, own in pdf.groupby("frame_index", sort=True):
+                own = own[own.x1.notna()]
+                out += [(pdf[match].iat[0], frame, *row) for row in self.tracker.step(own[boxes].to_numpy(float), own.confidence.to_numpy(float))]
+            return pd.DataFrame(out, columns=[match, "frame_index", "track_id", *boxes, "confidence"])
 
-    return rows.groupBy(match).applyInPandas(fold, f"{match} {kind}, frame_index int, {TRACKED}")
+    return fold_in_order(rows, match, ["frame_index", "ord"], Fold, f"{match} {kind}, frame_index int, {TRACKED}")
 
 
 def usable_detections(detections: DataFrame, *, labels: dict[str, str] | None = None, floors: dict[str, float] | None = None) -> DataFrame:

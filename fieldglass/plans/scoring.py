@@ -93,10 +93,11 @@ def defensive_banks(spark: SparkSession, base: str) -> DataFrame:
 
 def frame_scores(spark: SparkSession, base: str) -> DataFrame:
     """All measures of every scored frame."""
-    scored = with_space(lined(spark, base))
-    players = supporting_players(scored).groupBy(*KEY).agg(F.count_if("is_available").cast("int").alias("available_options"), F.count(F.lit(1)).cast("int").alias("n_players"))
-    frames = scored.select(*KEY, "attacking_team", "team_space", "team_dangerous_space", "attacking_hull", "defending_hull", "offside_line", F.array_join(F.transform("defensive_lines", lambda c: F.format_string("%.6f", c)), " ").alias("banks"))
-    return rounded(frames.join(players, list(KEY)), "team_space", "team_dangerous_space", "attacking_hull", "defending_hull", "offside_line")
+    measures = ("attacking_team", "team_space", "team_dangerous_space", "attacking_hull", "defending_hull", "offside_line", "defensive_lines")
+    players = supporting_players(with_space(lined(spark, base)), keep=measures)
+    frames = players.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in measures], F.count_if("is_available").cast("int").alias("available_options"), F.count(F.lit(1)).cast("int").alias("n_players"))
+    banks = F.array_join(F.transform("defensive_lines", lambda c: F.format_string("%.6f", c)), " ").alias("banks")
+    return rounded(frames.select(*KEY, *measures[:-1], banks, "available_options", "n_players"), "team_space", "team_dangerous_space", "attacking_hull", "defending_hull", "offside_line")
 
 
 def match_player_summary(spark: SparkSession, base: str) -> DataFrame:
