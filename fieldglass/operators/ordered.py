@@ -67,7 +67,7 @@ def fold_in_order(df: DataFrame, key: str, order: Sequence[str], start: Callable
 
 
 def _chunked(df: DataFrame, match: str, frame: str, chunk: int) -> DataFrame:
-    return df.withColumn("_chunk", F.floor(F.col(frame) / chunk)).repartition(match, "_chunk")
+    return spread(df.withColumn("_chunk", F.floor(F.col(frame) / chunk)), match, "_chunk")  # what follows may compute much on few bytes
 
 
 def carried(df: DataFrame, past: dict[str, tuple[Column, str]], *, match: str = "match_no", frame: str = "frame_index", chunk: int = CHUNK) -> DataFrame:

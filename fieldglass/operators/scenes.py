@@ -18,6 +18,13 @@ from fieldglass.operators.ordered import carried
 KEY = ("match_no", "frame_index")
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """df with these columns worked out once per row, as a one-element explode: what is written inside the functions of
+    array expressions would else be worked out again for every element."""
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.explode(F.array(F.struct(*columns))).alias("_settled")).select(*others, *[F.col(f"_settled.{c}").alias(c) for c in columns])
+
+
 def with_velocity(observations: DataFrame, *, fps: float = 25.0, window: int = 5, match: str = "match_no") -> DataFrame:
     """vx, vy in metres a second over the last observations of the track, at most so many; 0 for the first.
 
@@ -74,7 +81,7 @@ def gated(scenes: DataFrame, *, length: float = g.PITCH_LENGTH, width: float = g
     """
     placed = lambda side: F.filter("players", lambda p: (p["team"] == side) & p["x"].isNotNull() & p["y"].isNotNull())
     sides = scenes.where(g.is_side(F.col("attacking_team")) & F.col("ball_x").isNotNull() & F.col("ball_y").isNotNull())
-    sides = sides.withColumns({"_att": placed(F.col("attacking_team")), "_def": placed(g.opponent(F.col("attacking_team")))})
+    sides = settled(sides, "players").withColumns({"_att": placed(F.col("attacking_team")), "_def": placed(g.opponent(F.col("attacking_team")))})
     sides = sides.where((F.size("_att") >= 2) & (F.size("_def") >= 2))
     mean_x = lambda c: F.aggregate(c, F.lit(0.0), lambda s, p: s + p["x"]) / F.size(c)
     sides = sides.withColumn("flip", mean_x("_def") < mean_x("_att"))
@@ -87,10 +94,11 @@ def gated(scenes: DataFrame, *, length: float = g.PITCH_LENGTH, width: float = g
             (F.coalesce(p["vx"], zero) * sign).alias("vx"), (F.coalesce(p["vy"], zero) * sign).alias("vy"),
         )
 
-    return sides.withColumns({
+    out = sides.withColumns({
         "attackers": F.transform("_att", turned), "defenders": F.transform("_def", turned),
         "ball_x": g.flipped(F.col("ball_x"), F.col("flip"), length), "ball_y": g.flipped(F.col("ball_y"), F.col("flip"), width),
     }).drop("_att", "_def", "players")
+    return settled(out, "attackers", "defenders", "ball_x", "ball_y")
 
 
 def with_offside_line(scenes: DataFrame) -> DataFrame:
@@ -105,38 +113,48 @@ def with_carrier(scenes: DataFrame) -> DataFrame:
     return scenes.withColumn("carrier_id", F.array_min(near)["id"])
 
 
-def supporting_players(scenes: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per attacker without the ball, with all metrics that compare players of the frame.
+def with_support(scenes: DataFrame) -> DataFrame:
+    """support: array with all metrics of every attacker without the ball that compare players of the frame.
 
-    Needs offside_line and carrier_id; lines_broken too where defensive_lines is there. lane_clearance is infinite
-    without defenders, nearest_opponent null. All attackers with the carrier's track id are left out.
+    Needs offside_line and carrier_id; lines_broken and space_owned too where defensive_lines and ownership are there.
+    lane_clearance is infinite without defenders, nearest_opponent null. All attackers with the carrier's track id are
+    left out. Each attacker meets the defenders once, for all metrics.
     """
-    ball = (F.col("ball_x"), F.col("ball_y"))
-    rows = scenes.withColumn("a", F.explode("attackers")).where(~F.col("a.track_id").eqNullSafe(F.col("carrier_id")))
-    x, y = F.col("a.x"), F.col("a.y")
-    rows = rows.withColumns({"_dx": x - ball[0], "_dy": y - ball[1]}).withColumn("_long", F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
-
-    def seen(so_far, d):
-        """One defender more: least distance from the lane, from the attacker, and how many stand in the lane."""
-        share = F.when(F.col("_long") > 1e-18, g.clamp(((d["x"] - ball[0]) * F.col("_dx") + (d["y"] - ball[1]) * F.col("_dy")) / F.col("_long"), 0, 1)).otherwise(0.0)
-        lane = g.distance(d["x"], d["y"], ball[0] + F.col("_dx") * share, ball[1] + F.col("_dy") * share)
-        return F.struct(
-            F.least(so_far["lane"], lane).alias("lane"), F.least(so_far["near"], g.distance(d["x"], d["y"], x, y)).alias("near"), (so_far["blockers"] + (lane <= g.LANE_CORRIDOR).cast("int")).alias("blockers")
-        )
-
+    ball_x, ball_y = F.col("ball_x"), F.col("ball_y")
     nobody = F.struct(F.lit(float("inf")).alias("lane"), F.lit(None).cast("double").alias("near"), F.lit(0).alias("blockers"))
-    # worked out as rows of their own, or every column taken from it would work it out again
-    rows = rows.withColumn("_d", F.explode(F.array(F.aggregate("defenders", nobody, seen))))
-    rows = rows.withColumns({
-        "track_id": F.col("a.track_id"), "x": x, "y": y, "offside_margin": x - F.col("offside_line"), "lane_clearance": F.col("_d.lane"), "blockers": F.col("_d.blockers"),
-        "nearest_opponent": F.col("_d.near"), "marking_pressure": g.pressure(F.col("_d.near")), "position_value": g.pitch_value(x, y), "lane_open": F.col("_d.blockers") == 0,
-    })
-    out = [*KEY, "track_id", "x", "y", "offside_margin", "lane_open", "lane_clearance", "blockers", "nearest_opponent", "marking_pressure", "position_value"]
-    if "defensive_lines" in scenes.columns:
-        rows = rows.withColumn("lines_broken", F.size(F.filter("defensive_lines", lambda c: x > c)))
-        out.append("lines_broken")
-    if "ownership" in scenes.columns:
-        rows = rows.withColumn("space_owned", F.col("ownership")[F.array_position(F.transform("attackers", lambda p: p["ord"]), F.col("a.ord")).cast("int") - 1])
-        out.append("space_owned")
-    rows = rows.withColumn("is_available", g.is_available(F.col("lane_open"), F.col("offside_margin"), F.col("marking_pressure")))
-    return rows.select(*out, "is_available", *keep)
+
+    def met(a, i):
+        """Position in the list, place, and what the defenders make of it."""
+        dx, dy = a["x"] - ball_x, a["y"] - ball_y
+        lane = dx * dx + dy * dy
+
+        def seen(so_far, d):
+            share = F.when(lane > 1e-18, g.clamp(((d["x"] - ball_x) * dx + (d["y"] - ball_y) * dy) / lane, 0, 1)).otherwise(0.0)
+            off = g.distance(d["x"], d["y"], ball_x + dx * share, ball_y + dy * share)
+            return F.struct(
+                F.least(so_far["lane"], off).alias("lane"), F.least(so_far["near"], g.distance(d["x"], d["y"], a["x"], a["y"])).alias("near"), (so_far["blockers"] + (off <= g.LANE_CORRIDOR).cast("int")).alias("blockers")
+            )
+
+        return F.struct(i.alias("i"), a["track_id"].alias("track_id"), a["x"].alias("x"), a["y"].alias("y"), F.aggregate("defenders", nobody, seen).alias("d"))
+
+    def measured(m):
+        d = m["d"]
+        out = {
+            "track_id": m["track_id"], "x": m["x"], "y": m["y"], "offside_margin": m["x"] - F.col("offside_line"), "lane_open": d["blockers"] == 0, "lane_clearance": d["lane"], "blockers": d["blockers"],
+            "nearest_opponent": d["near"], "marking_pressure": g.pressure(d["near"]), "position_value": g.pitch_value(m["x"], m["y"]),
+        }
+        if "defensive_lines" in scenes.columns:
+            out["lines_broken"] = F.size(F.filter("defensive_lines", lambda c: m["x"] > c))
+        if "ownership" in scenes.columns:
+            out["space_owned"] = F.get("ownership", m["i"])
+        out["is_available"] = g.is_available(out["lane_open"], out["offside_margin"], out["marking_pressure"])
+        return F.struct(*[c.alias(name) for name, c in out.items()])
+
+    listed = F.filter(F.transform("attackers", met), lambda m: ~m["track_id"].eqNullSafe(F.col("carrier_id")))
+    met_once = settled(settled(scenes, "offside_line", "carrier_id").withColumn("_met", listed), "_met")
+    return settled(met_once.withColumn("support", F.transform("_met", measured)).drop("_met"), "support")
+
+
+def supporting_players(scenes: DataFrame) -> DataFrame:
+    """One row per attacker without the ball, with the metrics of with_support."""
+    return with_support(scenes).select(*KEY, F.explode("support").alias("_s")).select(*KEY, "_s.*")

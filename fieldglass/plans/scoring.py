@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions import geometry as g
 from fieldglass.operators.control import team_shape, with_space
-from fieldglass.operators.scenes import KEY, assemble, gated, supporting_players, with_carrier, with_offside_line, with_possession, with_velocity
+from fieldglass.operators.scenes import KEY, assemble, gated, supporting_players, with_carrier, with_offside_line, with_possession, with_support, with_velocity
 from fieldglass.sources.tracking import OBJECTS_SQL, tracking_from_events
 
 
@@ -93,11 +93,11 @@ def defensive_banks(spark: SparkSession, base: str) -> DataFrame:
 
 def frame_scores(spark: SparkSession, base: str) -> DataFrame:
     """All measures of every scored frame."""
-    measures = ("attacking_team", "team_space", "team_dangerous_space", "attacking_hull", "defending_hull", "offside_line", "defensive_lines")
-    players = supporting_players(with_space(lined(spark, base)), keep=measures)
-    frames = players.groupBy(*KEY).agg(*[F.first(c).alias(c) for c in measures], F.count_if("is_available").cast("int").alias("available_options"), F.count(F.lit(1)).cast("int").alias("n_players"))
+    frames = with_support(with_space(lined(spark, base))).where(F.size("support") > 0)
     banks = F.array_join(F.transform("defensive_lines", lambda c: F.format_string("%.6f", c)), " ").alias("banks")
-    return rounded(frames.select(*KEY, *measures[:-1], banks, "available_options", "n_players"), "team_space", "team_dangerous_space", "attacking_hull", "defending_hull", "offside_line")
+    options = F.size(F.filter("support", lambda s: s["is_available"])).alias("available_options")
+    out = frames.select(*KEY, "attacking_team", "team_space", "team_dangerous_space", "attacking_hull", "defending_hull", "offside_line", banks, options, F.size("support").alias("n_players"))
+    return rounded(out, "team_space", "team_dangerous_space", "attacking_hull", "defending_hull", "offside_line")
 
 
 def match_player_summary(spark: SparkSession, base: str) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from fieldglass.sources.tables import table
 
@@ -86,18 +85,3 @@ def marking_polylines(spark: SparkSession, length: float = 105.0, width: float =
     round_ = arcs.select("*", i).select("marking", "i", (F.col("cx") + 9.15 * F.cos(turn)).alias("x"), (F.lit(mid) + 9.15 * F.sin(turn)).alias("y"), "front", "cx")
     beyond = F.col("front").isNull() | (F.signum(F.col("x") - F.col("front")) == F.signum(F.col("front") - F.col("cx")))
     return straight.unionByName(round_.where(beyond).select("marking", "i", "x", "y"))
-
-
-def synthetic_move(spark: SparkSession, frames: int = 120, fps: float = 25.0) -> tuple[DataFrame, DataFrame]:
-    """(observations, frames) of a made-up attack for tests: five home players advancing, seven away holding, and a ball."""
-    f = spark.range(frames).select(F.lit(0).cast("bigint").alias("match_no"), F.col("id").cast("int").alias("frame_index"))
-    start = [("home", 101, 8.0, 34.0, 0.2), ("home", 102, 45.0, 20.0, 2.5), ("home", 103, 48.0, 48.0, 2.0), ("home", 104, 55.0, 30.0, 4.0), ("home", 105, 58.0, 40.0, 5.0)]
-    start += [("away", 201 + i, 65.0 + 5 * (i % 3), 12.0 + 7.5 * i, -0.3) for i in range(6)] + [("away", 207, 101.0, 34.0, 0.0)]
-    names = ("team", "track_id", "x0", "y0", "speed")
-    players = F.array(*[F.struct(F.lit(i).alias("ord"), *[F.lit(v).alias(n) for n, v in zip(names, p)]) for i, p in enumerate(start)])
-    t = F.col("frame_index") / fps
-    moving = f.withColumn("p", F.explode(players)).select("match_no", "frame_index", "p.ord", "p.track_id", "p.team", (F.col("p.x0") + F.col("p.speed") * t).alias("x"), F.col("p.y0").alias("y"))
-    line = Window.partitionBy("track_id").orderBy("frame_index")
-    rate = lambda c: F.coalesce((F.col(c) - F.lag(c).over(line)) * fps, F.lit(0.0))
-    ball = f.select("*", (46.0 + 2.5 * t).alias("ball_x"), F.lit(21.0).alias("ball_y"))
-    return moving.withColumns({"vx": rate("x"), "vy": rate("y")}), ball
