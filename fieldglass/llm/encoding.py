@@ -522,7 +522,8 @@ class Repairer:
             sure |= {m.name for m in self.tables if likely.get(m.name, 0.0) >= self.config.gain_text and len(pieces[m.name]) > 1}
             if not sure - tried:
                 break
-            name = max(sorted(sure - tried), key=total.get)
+            # of equals the first listed, as more common ones are
+            name = max((m.name for m in (*self.utf8, *self.tables) if m.name in sure - tried), key=total.get)
             tried.add(name)
             held.add(name)
             table = next((m for m in self.tables if m.name == name), None)
