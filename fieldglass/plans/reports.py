@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.operators import report as rp
 from fieldglass.operators import stitching as st
+from fieldglass.operators.scenes import with_velocity
 from fieldglass.plans.scoring import rounded
-from fieldglass.schemas import duplicate_keys, player_summary_rules, violations
+from fieldglass.schemas import duplicate_keys, player_summary_rules, table_rules, violations
 from fieldglass.sources.tables import report_json, table
 
 FEW = 100  # frames that count as reliable in runs as short as these
@@ -86,6 +89,37 @@ def summary_violations(spark: SparkSession, base: str) -> DataFrame:
     return violations(table(spark, base, "player_match_summary"), player_summary_rules())
 
 
+def table_violations(spark: SparkSession, base: str) -> DataFrame:
+    """Rows of every stored table, and how many break each of its rules."""
+    found = [violations(table(spark, base, name), rules).select(F.lit(name).alias("table_name"), "rule", "n_rows", "n_violations") for name, rules in table_rules().items()]
+    return reduce(DataFrame.unionAll, found)
+
+
+def _stored_positions(spark: SparkSession, base: str) -> DataFrame:
+    """One row per stored frame of a track, with the rate of its job and the side of its span; NaN is no place.
+
+    Of rows that differ the larger place counts; tracks whose job has no row have no rate and are left out.
+    """
+    scores = table(spark, base, "player_frame_score").repartition("job_id", "track_id")  # the one shuffle of the readings
+    readings = rp.once(scores, ["job_id", "track_id", "frame_index"], ["pitch_x", "pitch_y"]).withColumnsRenamed({"pitch_x": "x", "pitch_y": "y"})
+    rates = table(spark, base, "analysis_job").where(F.col("fps") > 0).groupBy("job_id").agg(F.max("fps").cast("double").alias("fps"))
+    sides = table(spark, base, "track_span").groupBy("job_id", "track_id").agg(F.min("team").alias("team"))
+    moving = with_velocity(readings.join(rates, "job_id").join(sides, ["job_id", "track_id"], "left"), fps=1.0, match="job_id")
+    return moving.withColumns({c: F.col(c) * F.col("fps") for c in ("vx", "vy")})
+
+
+def stored_velocity(spark: SparkSession, base: str) -> DataFrame:
+    """Velocity of the stored, gappy readings; null where a reading has no place."""
+    # ten digits: stored places have few, and their quotients fall on ties at six
+    return _stored_positions(spark, base).select("job_id", "track_id", "frame_index", *[F.round(c, 10).alias(c) for c in ("vx", "vy")])
+
+
+def stored_extents(spark: SparkSession, base: str) -> DataFrame:
+    """First and last place, velocity and number of placed readings of the stored tracks."""
+    out = st.track_extents(_stored_positions(spark, base), match="job_id")
+    return out.withColumns({c: F.round(c, 10) for c in ("first_x", "first_y", "last_x", "last_y", "last_vx", "last_vy")})
+
+
 def repeated_summaries(spark: SparkSession, base: str) -> DataFrame:
     return duplicate_keys(table(spark, base, "player_match_summary"), ["job_id", "track_id"])
 
@@ -117,7 +151,7 @@ def relabelled_tracks(spark: SparkSession, base: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (player_summary, team_summary, team_threat, run_coverage, player_report, report_documents, top_space, reliable_players, shoulder_runners, unreachable_players, run_quality, latest_runs,
-              summary_violations, repeated_summaries, link_candidates, fragment_matches, fragment_chains, relabelled_tracks)
+              summary_violations, table_violations, stored_velocity, stored_extents, repeated_summaries, link_candidates, fragment_matches, fragment_chains, relabelled_tracks)
 }
 
 _D = "CAST({} AS DOUBLE)".format
@@ -150,7 +184,27 @@ matched AS (SELECT job_id, pred, succ, distance FROM greedy WHERE taken),
 walk AS (SELECT job_id, succ AS track_id, pred AS head FROM matched UNION ALL SELECT w.job_id, w.track_id, m.pred FROM walk w JOIN matched m ON m.job_id = w.job_id AND m.succ = w.head),
 heads AS (SELECT job_id, track_id, head AS canonical_id FROM walk w WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.job_id = w.job_id AND m.succ = w.head))"""
 
+_RULES = {
+    "analysis_job": {"fps_positive": "fps > 0", "stride_positive": "stride >= 1", "progress_is_share": "progress BETWEEN 0 AND 1", "coverage_is_share": "coverage BETWEEN 0 AND 1", "frames_total_not_negative": "frames_total >= 0", "frames_scored_not_negative": "frames_scored >= 0",
+                     "scored_within_total": "frames_scored <= frames_total", "failure_explained": "lower(trim(status)) <> 'failed' OR error IS NOT NULL"},
+    "match_info": {"length_permitted": "pitch_length BETWEEN 90 AND 120", "width_permitted": "pitch_width BETWEEN 45 AND 90", "clubs_differ": "home_club_id IS DISTINCT FROM away_club_id"},
+    "player": {"full_name_not_blank": "length(trim(full_name)) > 0", "foot_known": "primary_foot IN ('left', 'right', 'both')"},
+    "frame_score": {**{f"{c}_not_negative": f"{c} >= 0" for c in ("frame_index", "team_space", "team_dangerous_space", "attacking_hull", "defending_hull", "available_options")}, "side_known": "attacking_side IN ('home', 'away')"},
+    "player_frame_score": {**{f"{c}_not_negative": f"{c} >= 0" for c in ("space_owned", "lines_broken", "nearest_opponent")}, **{f"{c}_is_share": f"{c} BETWEEN 0 AND 1" for c in ("marking_pressure", "position_value")}},
+    "player_match_summary": {"frames_positive": "frames > 0", "duration_not_negative": "duration_seconds >= 0", "space_not_negative": "median_space_owned >= 0", "value_is_share": "median_position_value BETWEEN 0 AND 1", "availability_is_share": "availability_rate BETWEEN 0 AND 1",
+                             "offside_rate_is_share": "offside_rate BETWEEN 0 AND 1", "lines_not_negative": "mean_lines_broken >= 0", "separation_not_negative": "median_separation >= 0", "pressure_is_share": "mean_pressure BETWEEN 0 AND 1"},
+}
+_STORED = f"""WITH p AS (SELECT job_id, track_id, frame_index, {_CLEAN("pitch_x")}, {_CLEAN("pitch_y")} FROM player_frame_score GROUP BY ALL),
+r AS (SELECT job_id, CAST(max(fps) AS DOUBLE) AS fps FROM analysis_job WHERE fps > 0 GROUP BY ALL), sides AS (SELECT job_id, track_id, min(team) AS team FROM track_span GROUP BY ALL),
+t AS (SELECT p.*, fps, team, pitch_x IS NOT NULL AND pitch_y IS NOT NULL AS placed FROM p JOIN r USING (job_id) LEFT JOIN sides USING (job_id, track_id)),
+w AS (SELECT *, first_value(frame_index) OVER o AS f0, first_value(pitch_x) OVER o AS x0, first_value(pitch_y) OVER o AS y0 FROM t WINDOW o AS (PARTITION BY job_id, track_id, placed ORDER BY frame_index ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+moving AS (SELECT *, CASE WHEN NOT placed THEN NULL WHEN frame_index > f0 THEN (pitch_x - x0) / (frame_index - f0) * fps ELSE 0 END AS vx, CASE WHEN NOT placed THEN NULL WHEN frame_index > f0 THEN (pitch_y - y0) / (frame_index - f0) * fps ELSE 0 END AS vy FROM w)"""
+
 ORACLES = {
+    "table_violations": " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{r}' AS rule, count(*) AS n_rows, count(*) FILTER (NOT ({c})) AS n_violations FROM {t}" for t, rules in _RULES.items() for r, c in rules.items()),
+    "stored_velocity": _STORED + " SELECT job_id, track_id, frame_index, round(vx, 10) AS vx, round(vy, 10) AS vy FROM moving",
+    "stored_extents": _STORED + " SELECT job_id, track_id, min(frame_index) AS first_frame, max(frame_index) AS last_frame, " + ", ".join(f"round(arg_{f}({c}, frame_index), 10) AS {a}" for f, c, a in (("min", "pitch_x", "first_x"), ("min", "pitch_y", "first_y"), ("max", "pitch_x", "last_x"), ("max", "pitch_y", "last_y"), ("max", "vx", "last_vx"), ("max", "vy", "last_vy")))
+    + ", any_value(team) AS team, count(*) AS observations FROM moving WHERE placed GROUP BY job_id, track_id",
     "player_summary": "SELECT job_id, track_id, count(*) AS frames, " + ", ".join(_ROUND(f"median({c})", a) for c, a in (("space_owned", "median_space_owned"), ("position_value", "median_position_value"), ("offside_margin", "median_offside_margin"), ("nearest_opponent", "median_separation")))
     + ", " + _ROUND(f"avg(CASE WHEN lane_open AND NOT coalesce(offside_margin > 0, false) AND marking_pressure < {_D(0.6)} THEN 1.0 ELSE 0.0 END)", "availability_rate") + ", " + _ROUND("avg(CASE WHEN offside_margin > 0 THEN 1.0 ELSE 0.0 END)", "offside_rate")
     + ", " + _ROUND("avg(lines_broken)", "mean_lines_broken") + ", " + "round(avg(marking_pressure), 10) AS mean_pressure"

@@ -53,6 +53,23 @@ def player_summary_rules() -> list[Rule]:
     ]
 
 
+def table_rules() -> dict[str, list[Rule]]:
+    """Ranges that the rows of the stored tables keep, by table name."""
+    not_negative = lambda *names: [Rule(f"{c}_not_negative", F.col(c) >= 0) for c in names]
+    share = lambda *names: [Rule(f"{c}_is_share", F.col(c).between(0, 1)) for c in names]
+    filled = lambda c: Rule(f"{c}_not_blank", F.length(F.trim(c)) > 0)
+    failed = F.lower(F.trim("status")) == "failed"
+    return {
+        "analysis_job": [Rule("fps_positive", F.col("fps") > 0), Rule("stride_positive", F.col("stride") >= 1), *share("progress", "coverage"), *not_negative("frames_total", "frames_scored"),
+                         Rule("scored_within_total", F.col("frames_scored") <= F.col("frames_total")), Rule("failure_explained", ~failed | F.col("error").isNotNull())],
+        "match_info": [Rule("length_permitted", F.col("pitch_length").between(90, 120)), Rule("width_permitted", F.col("pitch_width").between(45, 90)), Rule("clubs_differ", ~F.col("home_club_id").eqNullSafe(F.col("away_club_id")))],
+        "player": [filled("full_name"), Rule("foot_known", F.col("primary_foot").isin("left", "right", "both"))],
+        "frame_score": [*not_negative("frame_index", "team_space", "team_dangerous_space", "attacking_hull", "defending_hull", "available_options"), Rule("side_known", F.col("attacking_side").isin("home", "away"))],
+        "player_frame_score": [*not_negative("space_owned", "lines_broken", "nearest_opponent"), *share("marking_pressure", "position_value")],
+        "player_match_summary": player_summary_rules(),
+    }
+
+
 def violations(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """Rows (rule, n_rows, n_violations), one per rule, in a single pass over df."""
     counts = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(~r.holds).alias(r.name) for r in rules])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.operators.control import Grid, with_space
 from fieldglass.operators.scenes import assemble, gated, with_possession
-from fieldglass.schemas import Rule, duplicate_keys, violations
+from fieldglass.schemas import Rule, duplicate_keys, table_rules, violations
 from fieldglass.session import Materialised, clear_scratch, materialise, shared_dir
 from fieldglass.sources.tables import annotated_images, camel_case, image_files, report_json, sample_frames, shown, write_tracking
 from fieldglass.sources.tracking import marking_polylines, pitch_landmarks
@@ -40,6 +40,15 @@ def test_sinks(spark, tmp_path):
     assert sorted(r[0] for r in df.select(shown("pitch_x")).collect()) == ["63", "n/a"]
 
 
+def test_rules_of_jobs(spark):
+    rows = [("failed", None, 25.0, 1, 0.5, 0.5, 10, 11), (" FAILED", "lost", 0.0, 0, 1.5, None, -1, -2), (None, None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "status string, error string, fps double, stride int, progress double, coverage double, frames_total int, frames_scored int")
+    got = {r.rule: r.n_violations for r in violations(df, table_rules()["analysis_job"]).collect()}
+    assert got == {"fps_positive": 1, "stride_positive": 1, "progress_is_share": 1, "coverage_is_share": 0, "frames_total_not_negative": 1, "frames_scored_not_negative": 1, "scored_within_total": 1, "failure_explained": 1}
+    empty = violations(df.limit(0), table_rules()["analysis_job"]).collect()
+    assert {(r.n_rows, r.n_violations) for r in empty} == {(0, 0)}
+
+
 def test_rules_and_keys(spark):
     df = spark.createDataFrame([(1, 5), (1, -5), (2, None)], "k int, v int")
     assert [tuple(r) for r in violations(df, [Rule("positive", F.col("v") > 0), Rule("small", F.col("v") < 9)]).collect()] == [("positive", 3, 1), ("small", 3, 0)]
