@@ -71,10 +71,14 @@ def running_votes(votes: DataFrame, *, least: int = 5, match: str = "match_no")
     return counted.withColumn("team", F.when(F.col("_h") + F.col("_a") >= least, side).otherwise("unknown")).drop("_h", "_a", "_f")
 
 
-def goalkeepers(positions: DataFrame, *, length: float = 105.0, match: str = "match_no", share: float = 0.12) -> DataFrame:
-    """Rows (match, track_id, team, mean_x): the track nearest either goal line by mean x, if within share of the pitch."""
-    means = positions.where(F.col("x").isNotNull()).groupBy(match, "track_id").agg(F.avg("x").alias("mean_x"), F.min("team").alias("team"))
+def goalkeepers(positions: DataFrame, *, length: float | str = 105.0, match: str = "match_no", share: float = 0.12) -> DataFrame:
+    """Rows (match, track_id, team, mean_x): the track nearest either goal line by mean x, if within share of the pitch.
+
+    length is that of all pitches, or the column that holds it; a match of unknown length gives no row.
+    """
+    size = F.col(length) if isinstance(length, str) else F.lit(float(length))
+    means = positions.where(F.col("x").isNotNull()).groupBy(match, "track_id").agg(F.avg("x").alias("mean_x"), F.min("team").alias("team"), F.max(size).alias("_length"))
     row = F.struct("track_id", "team", "mean_x")
-    ends = means.groupBy(match).agg(F.min_by(row, F.struct("mean_x", "track_id")).alias("_deep"), F.max_by(row, F.struct("mean_x", "track_id")).alias("_high"), F.count(F.lit(1)).alias("_n"))
-    near = F.array_compact(F.array(F.when(F.col("_deep.mean_x") < length * share, F.col("_deep")), F.when(F.col("_high.mean_x") > length * (1 - share), F.col("_high"))))
+    ends = means.groupBy(match).agg(F.min_by(row, F.struct("mean_x", "track_id")).alias("_deep"), F.max_by(row, F.struct("mean_x", "track_id")).alias("_high"), F.count(F.lit(1)).alias("_n"), F.max("_length").alias("_length"))
+    near = F.array_compact(F.array(F.when(F.col("_deep.mean_x") < F.col("_length") * share, F.col("_deep")), F.when(F.col("_high.mean_x") > F.col("_length") * (1 - share), F.col("_high"))))
     return ends.where(F.col("_n") >= 2).select(match, F.explode(near).alias("k")).select(match, "k.*").distinct()

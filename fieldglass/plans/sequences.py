@@ -82,10 +82,18 @@ def team_votes(spark: SparkSession, base: str) -> DataFrame:
 
 
 def goalkeepers(spark: SparkSession, base: str) -> DataFrame:
-    """Tracks whose mean place is at either end of the pitch, per job, with the side that their span names; places where no pitch is do not count."""
+    """Tracks whose mean place is at either end of the pitch, per job, with the side that their span names.
+
+    The pitch is that of the job's match, 105 m where that is unknown. Places beyond 0 to 120 m, the longest permitted pitch, do not count.
+    """
     sides = table(spark, base, "track_span").groupBy("job_id", "track_id").agg(F.min("team").alias("team"))
     places = table(spark, base, "player_frame_score").where(F.col("pitch_x").between(0, 120)).select("job_id", "track_id", F.col("pitch_x").alias("x"))
-    return tm.goalkeepers(places.join(sides, ["job_id", "track_id"]), match="job_id", share=0.12).withColumn("mean_x", F.round("mean_x", 10))
+    key = lambda c: F.regexp_replace(F.lower(F.trim(c)), "-", "")
+    pitches = table(spark, base, "match_info").groupBy(key("match_id").alias("k")).agg(F.max("pitch_length").cast("double").alias("length"))
+    jobs = table(spark, base, "analysis_job").groupBy("job_id").agg(F.max(key("match_id")).alias("k"))
+    lengths = jobs.join(pitches, "k").select("job_id", "length")
+    placed = places.join(sides, ["job_id", "track_id"]).join(lengths, "job_id", "left").withColumn("length", F.coalesce("length", F.lit(105.0)))
+    return tm.goalkeepers(placed, length="length", match="job_id").withColumn("mean_x", F.round("mean_x", 10))
 
 
 _BOX = ("x1", "y1", "x2", "y2")
@@ -286,9 +294,10 @@ FROM track t JOIN fixed f USING (match_no, frame_index) JOIN held h USING (match
 SELECT match_no, frame_index, track_id, CASE WHEN count(vote) OVER w < 5 THEN 'unknown' WHEN count(*) FILTER (vote = 'home') OVER w > count(*) FILTER (vote = 'away') OVER w THEN 'home'
   WHEN count(*) FILTER (vote = 'home') OVER w < count(*) FILTER (vote = 'away') OVER w THEN 'away' ELSE first_value(vote IGNORE NULLS) OVER w END AS team
 FROM votes WINDOW w AS (PARTITION BY match_no, track_id ORDER BY frame_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
-    "goalkeepers": f"""WITH sides AS (SELECT job_id, track_id, min(team) AS team FROM track_span GROUP BY ALL), m AS (SELECT p.job_id, p.track_id, s.team, avg(pitch_x) AS mean_x FROM player_frame_score p JOIN sides s ON p.job_id = s.job_id AND p.track_id = s.track_id WHERE pitch_x BETWEEN 0 AND 120 GROUP BY ALL),
+    "goalkeepers": f"""WITH sides AS (SELECT job_id, track_id, min(team) AS team FROM track_span GROUP BY ALL), pitches AS (SELECT replace(lower(trim(match_id)), '-', '') AS k, CAST(max(pitch_length) AS DOUBLE) AS length FROM match_info GROUP BY ALL),
+jobs AS (SELECT job_id, max(replace(lower(trim(match_id)), '-', '')) AS k FROM analysis_job GROUP BY ALL), lengths AS (SELECT job_id, length FROM jobs JOIN pitches USING (k)), m AS (SELECT p.job_id, p.track_id, s.team, avg(pitch_x) AS mean_x FROM player_frame_score p JOIN sides s ON p.job_id = s.job_id AND p.track_id = s.track_id WHERE pitch_x BETWEEN 0 AND 120 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY mean_x, track_id) AS lo, row_number() OVER (PARTITION BY job_id ORDER BY mean_x DESC, track_id DESC) AS hi, count(*) OVER (PARTITION BY job_id) AS n FROM m)
-SELECT job_id, track_id, team, round(mean_x, 10) AS mean_x FROM r WHERE n >= 2 AND ((lo = 1 AND mean_x < 105 * {_D(0.12)}) OR (hi = 1 AND mean_x > 105 * {_D(0.88)}))""",
+SELECT job_id, track_id, team, round(mean_x, 10) AS mean_x FROM r LEFT JOIN lengths USING (job_id) WHERE n >= 2 AND ((lo = 1 AND mean_x < coalesce(length, 105) * {_D(0.12)}) OR (hi = 1 AND mean_x > coalesce(length, 105) * {_D(0.88)}))""",
     "box_overlaps": _BOXES + """, pairs AS (SELECT *, lag(x1) OVER w AS a1, lag(y1) OVER w AS b1, lag(x2) OVER w AS a2, lag(y2) OVER w AS b2 FROM boxes WINDOW w AS (PARTITION BY match_no, ord ORDER BY frame_index)),
 i AS (SELECT *, greatest(least(x2, a2) - greatest(x1, a1), 0) * greatest(least(y2, b2) - greatest(y1, b1), 0) AS inter FROM pairs)
 SELECT match_no, frame_index, ord, round(CASE WHEN a1 IS NULL THEN 0 ELSE inter / ((x2 - x1) * (y2 - y1) + (a2 - a1) * (b2 - b1) - inter) END, 6) AS iou, round((x2 - x1) * (y2 - y1), 6) AS area, round((x1 + x2) / 2, 6) AS foot_x, round(y2, 6) AS foot_y FROM i""",

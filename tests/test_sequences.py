@@ -191,3 +191,12 @@ def test_nearest_kit(spark):
     df = spark.createDataFrame([(*r, 0.0, 0.0, 0.0, 200.0, 200.0, 200.0) for r in rows], "r double, g double, b double, home_r double, home_g double, home_b double, away_r double, away_g double, away_b double")
     got = [r[0] for r in df.orderBy("r").select(nearest_kit(F.col("r"), F.col("g"), F.col("b"))).collect()]
     assert got == ["home", "home", "away"]
+
+
+def test_goalkeepers_by_length_of_the_pitch(spark):
+    places = [(m, t, side, x, length) for m, length in (("long", 120.0), ("short", 90.0), ("unknown", None)) for t, side, x in ((4, "home", 12.0), (9, "away", 97.0), (5, "home", 50.0))]
+    df = spark.createDataFrame(places, "match_no string, track_id int, team string, x double, length double")
+    got = {(r.match_no, r.track_id) for r in goalkeepers(df, length="length").collect()}
+    assert got == {("long", 4), ("short", 9)}
+    assert {r.track_id for r in goalkeepers(df.where("match_no = 'short'")).collect()} == {4, 9}
+    assert goalkeepers(df.limit(0), length="length").count() == 0
